@@ -11,6 +11,9 @@ from corpusloom.llm.chunk_encode import encoded
 from corpusloom.llm.format_ledger import copies, ledger_of
 from corpusloom.llm.leak_scan import leaks
 from corpusloom.llm.mixing import Mixture
+from corpusloom.llm.personal_data import personal_data
+from corpusloom.llm.residue import residue
+from corpusloom.llm.sentence_bounds import sentences
 from corpusloom.llm.unicode_form import consistent_form, look_alike_pairs
 
 TYPOLOGIES = ["agglutination", "fusional", "analytic"]
@@ -29,6 +32,30 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "preprocess_text").select("text_id", consistent_form("text").alias("text"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_read(spark, sf_dir, "clean_raw_dataset_text"), "line_id", "text", _read(spark, sf_dir, "person_names"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select(F.col("id").alias("line_id"), F.explode("kinds").alias("kind"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select(F.col("id").alias("line_id"), F.col("redacted").alias("text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(_read(spark, sf_dir, "clean_raw_dataset_text"), "line_id", "text").select(F.col("id").alias("line_id"), "end_char")
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(_read(spark, sf_dir, "clean_raw_dataset_text"), "line_id", "text").withColumnRenamed("id", "line_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(_read(spark, sf_dir, "clean_raw_dataset_text"), "line_id", "text").where("is_residue").select(F.col("id").alias("line_id"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     files = _read(spark, sf_dir, "dataset_files").select("file", F.col("typology").alias("source"))
     rows = _read(spark, sf_dir, "preprocess_text").join(F.broadcast(files), "file")  # dataset_files is fixed: 56 rows
@@ -67,7 +94,7 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p3_found, p3_report, p7_found, p7_counts, p8_ids, p9_found, p9_near)
+    own = (p1_found, p1_forms, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_sentences, p5_found, p7_found, p7_counts, p8_ids, p9_found, p9_near)
     return {f.__name__: f for f in own}
 
 

@@ -46,7 +46,7 @@ def _expand(ch: str) -> str:
     """Full expansion of one character."""
     o = ord(ch)
     cat = unicodedata.category(ch)
-    if ch in "\t\n\r\x0b\x0c\x85  " or cat == "Zs":
+    if ch in "\t\n\r\x0b\x0c\x85" or cat in ("Zl", "Zp") or cat == "Zs":
         return " "
     if cat == "Cf" and not 0x600 <= o <= 0x605 and o not in (0x6DD, 0x70F) or o == 0x34F or 0xFE00 <= o <= 0xFE0F or o in (0x115F, 0x1160, 0x3164, 0xFFA0) or 0xE0100 <= o <= 0xE01EF:
         return ""
