@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.chunk_encode import encoded
 from corpusloom.llm.format_ledger import copies, ledger_of
 from corpusloom.llm.leak_scan import leaks
+from corpusloom.llm.language_ppm import fit, segments
 from corpusloom.llm.mixing import Mixture
+from corpusloom.llm.page_spam import judged, profiles
 from corpusloom.llm.personal_data import personal_data
 from corpusloom.llm.residue import residue
 from corpusloom.llm.sentence_bounds import sentences
@@ -71,6 +73,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report().where("short").select("mix_id", F.col("source").alias("typology"))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(profiles(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "language_samples"), label_col="lang"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir).where(~F.col("spam") & (F.size("found") > 0))
+    whole = F.filter("found", lambda x: x["sentences"] >= 2)
+    langs = F.when(F.size(whole) >= 2, F.transform(whole, lambda x: x["lang"])).otherwise(F.array("lang"))
+    label = F.lower(F.trim(F.regexp_replace("label", r"\s+", " ")))
+    rows = rows.select("id", label.alias("label"), "found", langs.alias("langs")).where((F.size("langs") >= 2) | ~F.coalesce(F.array_contains("langs", F.col("label")), F.lit(False)))
+    return rows.select(F.col("id").alias("doc_id"), F.explode("langs").alias("lang"))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(_read(spark, sf_dir, "documents"), fit(_read(spark, sf_dir, "language_samples"))).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("spam").select(F.col("id").alias("doc_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "languages")
     return copies(rows, "sent_id", "text", [F.col("added_at").isNotNull(), F.col("added_at").isNull()])
@@ -94,7 +117,7 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_sentences, p5_found, p7_found, p7_counts, p8_ids, p9_found, p9_near)
+    own = (p1_found, p1_forms, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_sentences, p5_found, p6_found, p6_segments, p7_found, p7_counts, p8_ids, p9_found, p9_near, p10_found)
     return {f.__name__: f for f in own}
 
 
