@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -89,11 +91,21 @@ def dense_table(vocabulary: DataFrame | dict[str, int]) -> list[str]:
 
 
 def decoded(df: DataFrame, vocabulary: DataFrame | dict[str, int], ids: str = "ids", to: str = "text") -> DataFrame:
-    """Texts of id arrays, all in the JVM: the dense table is one row that is broadcast; ids outside it are skipped."""
+    """Texts of id arrays; ids outside the table and null ids are skipped. Gathers and joins run on whole Arrow batches."""
     table = dense_table(vocabulary)
-    one = df.sparkSession.createDataFrame([(table,)], "_vocabulary array<string>")
-    fit = F.filter(ids, lambda i: (i >= 0) & (i < len(table)))
-    return df.crossJoin(F.broadcast(one)).withColumn(to, F.array_join(F.transform(fit, lambda i: F.col("_vocabulary")[i]), "")).drop("_vocabulary")
+
+    @F.arrow_udf(StringType())
+    def run(col: pa.Array) -> pa.Array:
+        tokens = pa.array([*table, ""], pa.string())
+        lists = col
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(float)
+        fit = np.where((flat >= 0) & (flat < len(table)), flat, len(table)).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(offsets), tokens.take(pa.array(fit)))
+        return pc.binary_join(parts, "")
+
+    return df.withColumn(to, run(F.col(ids)))
 
 
 def segment(words: Iterable[str], vocabulary: set[str]) -> list[str]:

@@ -46,8 +46,8 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.desc("weight"), "left", "right").limit(k)
 
 
-def clause_counts(df: DataFrame, text: str = "text", by: tuple[str, ...] = (), least: int = 2) -> DataFrame:
-    """(by..., words, n) of clauses with two parts and two surfaces that occur at least ``least`` times."""
+def clause_counts(df: DataFrame, text: str = "text", by: tuple[str, ...] = (), least: int = 2, least_words: int = 2) -> DataFrame:
+    """(by..., words, n) of clauses with two untrimmed parts and ``least_words`` surfaces that occur at least ``least`` times."""
     each = df.select(*by, F.explode(clauses(F.col(text))).alias("clause")).where(F.size(F.split("clause", " ", -1)) >= 2)
-    each = each.select(*by, surfaces(F.col("clause")).alias("words")).where(F.size("words") >= 2)
+    each = each.select(*by, surfaces(F.col("clause")).alias("words")).where(F.size("words") >= least_words)
     return each.groupBy(*by, "words").agg(F.count("*").alias("n")).where(F.col("n") >= least)
