@@ -177,7 +177,7 @@ def letters(text: str) -> int:
 
 def assign(sents: list[str], bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language index, confidence) of each sentence of one document."""
-    if not len(sents):
+    if not len(sents) or not bits.shape[1]:
         return np.zeros(0, int), np.zeros(0)
     best = bits.argmin(axis=1)
     whole = bits.sum(axis=0)
@@ -226,7 +226,7 @@ def segments(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                         own = units(t)
                         sents += own
                         owner += [r] * len(own)
-                if not sents:
+                if not sents or not m.langs:
                     continue
                 bits, size, owner = m.score(sents), np.array([letters(s) for s in sents]), np.array(owner)
                 for r in np.unique(owner):

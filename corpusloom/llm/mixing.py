@@ -153,4 +153,4 @@ class Mixture:
     def records(self, texts: DataFrame) -> DataFrame:
         """(mix_id, shard, slot, source, block, row_id, text): the mixed corpus; ``texts``: (row_id, text)."""
         used = self.slots().join(self.pieces, ["source", "block"]).join(texts, "row_id")
-        return used.select("mix_id", "shard", "slot", "source", "block", "row_id", F.expr("substring(text, lo + 1, hi - lo)").alias("text"))
+        return used.select("mix_id", "shard", "slot", "source", "block", "row_id", F.expr("substring(text, cast(lo + 1 AS int), cast(hi - lo AS int))").alias("text"))
