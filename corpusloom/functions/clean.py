@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
-from corpusloom.functions.regexkit import S, digit_class, java, replace_all, strip
+from corpusloom.functions.regexkit import S, W, digit_class, java, replace_all, strip
 
 
 def phrases(lines: str) -> str:
@@ -23,6 +23,43 @@ def phrases(lines: str) -> str:
     return "|".join(x for x in lines.strip().split("\n")).replace(" *", "{S}*").replace(" ", "{S}+")
 
 
+def alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def by_first_letter(pattern: str) -> str:
+    """The same alternation grouped by literal first letters, so that an engine that tries one branch after another skips most of them.
+
+    Branches with different first letters never match at one place, and the order inside a letter stays.
+    """
+    groups: dict[str, list[str]] = {}
+    rest: list[str] = []
+    for a in alternatives(pattern):
+        if a[0].isalpha() and not (len(a) > 1 and a[1] in "?*+{"):
+            groups.setdefault(a[0], []).append(a[1:])
+        else:
+            rest.append(a)
+    return "|".join([f"{c}(?:{'|'.join(v)})" for c, v in groups.items()] + rest)
+
+
+#: Start of a word, before a pattern that begins with a word character.
+START = rf"(?<!{W})"
+
+
 # The patterns of the removals, in order.
 PATTERNS = {
     "newlines": (r"[\r\n]+", ""),
@@ -50,10 +87,19 @@ PATTERNS = {
 }
 ORDER = tuple(PATTERNS)
 
+#: The same patterns in a form that Java's engine runs faster: every branch after a boundary begins with a word character.
+_FASTER = {
+    "spam": (
+        START + "(?:" + by_first_letter(phrases(rules.PROMO_LATIN)) + "){B}|(?:" + by_first_letter(phrases(rules.PROMO_OTHER)) + ")|" + START + "(?:" + "|".join(x.replace(".", r"\.") for x in rules.INVITE_HOSTS.split()) + ")/{NS}+",
+        "iu",
+    ),
+    **{k: (START + PATTERNS[k][0].removeprefix("{B}"), PATTERNS[k][1]) for k in ("urls", "ipv4", "cards")},
+}
+
 
 def removed(text: Column, step: str) -> Column:
     """One removal by its name."""
-    pattern, flags = PATTERNS[step]
+    pattern, flags = _FASTER.get(step) or PATTERNS[step]
     return replace_all(text, pattern, " ", flags)
 
 
@@ -76,9 +122,13 @@ def has_letter_and_digit(token: Column) -> Column:
     return token.rlike(r"\p{L}") & token.rlike(f"[{digit_class()}]")
 
 
-def keeps(token: Column) -> Column:
-    """Whether the token filter keeps a token."""
-    bare = F.regexp_replace(token, F.lit(f"^{_EDGE}+|{_EDGE}+$"), F.lit(""))
+def bare_token(token: Column) -> Column:
+    """A token without the punctuation around it."""
+    return F.regexp_replace(token, F.lit(f"^{_EDGE}+|{_EDGE}+$"), F.lit(""))
+
+
+def keeps(bare: Column) -> Column:
+    """Whether the token filter keeps a token, judged by its bare form."""
     number = ~bare.rlike(r"\p{L}") & bare.rlike(f"[{digit_class()}]")
     camel = (F.length(bare) >= 8) & (F.length(F.regexp_replace(bare, F.lit(r"[^\p{Lu}]"), F.lit(""))) >= 2) & bare.rlike(_CAMEL)
     return (bare != "") & ~number & ~bare.rlike(java(_FLOOD)) & ~camel & ~F.lower(bare).isin(rules.PLATFORM_WORDS)
@@ -86,7 +136,8 @@ def keeps(token: Column) -> Column:
 
 def token_filter(text: Column) -> Column:
     """Tokens between single spaces, without numbers, floods, campaign compounds and platform words."""
-    return F.array_join(F.filter(F.split(text, " "), keeps), " ")
+    pairs = F.transform(F.split(text, " "), lambda w: F.struct(w.alias("w"), bare_token(w).alias("b")))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: keeps(p["b"])), lambda p: p["w"]), " ")
 
 
 def cleaned(text: Column) -> Column:

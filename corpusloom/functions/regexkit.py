@@ -8,6 +8,7 @@ before the match becomes a captured neighbour (group 1) that the replacement put
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -43,6 +44,11 @@ def replace_all(text: Column, pattern: str, by: str = " ", flags: str = "") -> C
     return F.regexp_replace(text, F.lit(java(pattern, flags)), F.lit(by))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` names it (Catalyst would put it in at each place)."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(text: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(text, F.lit(rf"^{S}+|{S}+$"), F.lit(""))

@@ -16,41 +16,57 @@ from corpusloom.functions import rules
 
 
 class MinTokenEncoder:
-    """Shortest path over a trie, from the end of the text to its start.
+    """Fewest tokens by a shortest path from the end of the text to its start.
 
     A single character costs one token always (its own, else id 0). A longer token replaces it only if
-    that is strictly cheaper; tokens are tried short to long, so of equally cheap ways the one with the
-    shortest next token is taken.
+    that is strictly cheaper; of equally cheap longer tokens the shortest is taken. An Aho-Corasick
+    automaton over the reversed tokens, run over the reversed text, meets the tokens in just this order:
+    by start from the last to the first, and longest first at each start.
     """
 
     def __init__(self, ids: dict[str, int]):
+        import ahocorasick
+
         self.single = {t: i for t, i in ids.items() if len(t) == 1}
-        self.trie: dict = {}
+        self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
-            if not token:
-                continue
-            node = self.trie
-            for ch in token:
-                node = node.setdefault(ch, {})
-            node[""] = i
+            if len(token) > 1:
+                self.automaton.add_word(token[::-1], (len(token), i))
+        self.automaton.make_automaton()
+        self.long = len(self.automaton) > 0
 
     def encode(self, text: str) -> list[int]:
         n = len(text)
-        cost, to, token = [0] * (n + 1), [0] * n, [0] * n
-        root, single = self.trie, self.single
-        for i in range(n - 1, -1, -1):
-            best, end, ident = cost[i + 1] + 1, i + 1, single.get(text[i], 0)
-            node, j = root.get(text[i]), i + 1
-            while node is not None and j < n and best > 1:
-                node = node.get(text[j])
-                j += 1
-                if node is not None and "" in node and cost[j] + 1 < best:
-                    best, end, ident = cost[j] + 1, j, node[""]
-            cost[i], to[i], token[i] = best, end, ident
+        if not n:
+            return []
+        single, cost, step, token = self.single, [0] * (n + 1), [1] * n, [0] * n
+        at, best, length, ident = n - 1, n + 1, 1, 0  # the start being settled and its best longer token
+        if self.long:
+            for r, (size, i) in self.automaton.iter(text[::-1]):
+                here = n - 1 - r
+                while at > here:
+                    c = cost[at + 1] + 1
+                    if best < c:
+                        cost[at], step[at], token[at] = best, length, ident
+                    else:
+                        cost[at], token[at] = c, single.get(text[at], 0)
+                    at -= 1
+                    best = n + 1
+                c = cost[here + size] + 1
+                if c <= best:
+                    best, length, ident = c, size, i
+        while at >= 0:
+            c = cost[at + 1] + 1
+            if best < c:
+                cost[at], step[at], token[at] = best, length, ident
+            else:
+                cost[at], token[at] = c, single.get(text[at], 0)
+            at -= 1
+            best = n + 1
         out, i = [], 0
         while i < n:
             out.append(token[i])
-            i = to[i]
+            i += step[i]
         return out
 
 

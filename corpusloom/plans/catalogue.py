@@ -13,28 +13,32 @@ from corpusloom.functions import normalize as nz
 from corpusloom.operators import bpe, classify, codec, counts, evaluate, sampling
 from corpusloom.operators import sentences as sn
 from corpusloom.plans import sqltext as sql
-from corpusloom.runtime import materialise, scratch, table
+from corpusloom.runtime import scratch, spread, table
 
 TOP = 100
 QUERY_VOCABULARY = 2_000
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "clean_raw_dataset_text").select("line_id", "file", "text")
+    return spread(table(spark, sf_dir, "clean_raw_dataset_text").select("line_id", "file", "text"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def word_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = counts.word_counts(table(spark, sf_dir, "documents").select("text"))
+    n = counts.word_counts(_docs(spark, sf_dir))
     return n.orderBy(F.desc("n"), "surface").limit(TOP)
 
 
 def pair_counts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = counts.weighted_units(counts.word_counts(table(spark, sf_dir, "documents").select("text")))
+    words = counts.weighted_units(counts.word_counts(_docs(spark, sf_dir)))
     return counts.top_pairs(counts.pair_counts(words), TOP)
 
 
 def clause_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = counts.clause_counts(table(spark, sf_dir, "documents").select("text"))
+    n = counts.clause_counts(_docs(spark, sf_dir))
     return n.select(F.array_join("words", "").alias("clause"), F.size("words").alias("words"), "n")
 
 
@@ -73,7 +77,7 @@ def repaired_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the balanced-corpus table, uncleaned, with their keys."""
-    rows = table(spark, sf_dir, "languages").select("sent_id", "file", "text")
+    rows = spread(table(spark, sf_dir, "languages").select("sent_id", "file", "text"))
     return sn.sentences(rows.where("text IS NOT NULL"), "text", ("sent_id", "file"))
 
 
@@ -153,7 +157,7 @@ def bpe_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "languages").select("sent_id", nz.normalised(F.col("text")).alias("text"))
+    rows = spread(table(spark, sf_dir, "languages").select("sent_id", "text")).select("sent_id", nz.normalised(F.col("text")).alias("text"))
     return rows.select("sent_id", codec.encoder(_vocabulary(spark, sf_dir))("text").alias("ids"))
 
 
@@ -170,7 +174,7 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding with a fixed vocabulary of ASCII and some short words; characters beyond it become token 0."""
     vocabulary = {chr(c): i for i, c in enumerate(rules.ASCII)}
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = codec.decoded(rows.withColumn("ids", codec.encoder(vocabulary)("text")), vocabulary, to="back")
     return back.select("doc_id", F.size("ids").alias("tokens"), "back")
 
@@ -278,5 +282,3 @@ def oracle_sql() -> dict[str, str]:
     )
     return out
 
-
-__all__ = ["materialise", "oracle_sql", "queries"]

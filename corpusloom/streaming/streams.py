@@ -15,8 +15,7 @@ from corpusloom.operators.sentences import finished, sentences
 
 def cleaned_sentences(stream: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Cleaned sentences of a stream of raw lines; the same expressions as in batch."""
-    rows = stream.select(*keep, cleaned(F.col(text)).alias("_clean")).where("_clean <> ''")
-    return sentences(rows.withColumn("_clean", finished(F.col("_clean"))), "_clean", keep)
+    return sentences(stream.select(*keep, finished(cleaned(F.col(text))).alias("_clean")), "_clean", keep)
 
 
 def encoded(stream: DataFrame, vocabulary, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
