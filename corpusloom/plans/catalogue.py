@@ -148,7 +148,7 @@ def family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "preprocess_text").where("text IS NOT NULL").select("file", "text")
+    lines = spread(table(spark, sf_dir, "preprocess_text").where("text IS NOT NULL").select("file", "text"))
     return bpe.train(lines, QUERY_VOCABULARY)
 
 
