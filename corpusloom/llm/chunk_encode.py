@@ -77,6 +77,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(row)), pa.array(place, pa.int32()), pack(cps, cuts)], names=["t", "place", "chunk"])
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=2)
+def _bytes_of(path: str) -> list[bytes]:
+    """The bytes of each token; chunks are rebuilt from their ids, so their texts needn't travel with them."""
+    t, size = _load(path)
+    letters, out = byte_letters(), [b""] * len(size)
+    for token, i in t.get_vocab().items():
+        out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+    return out
+
+
 @lru_cache(maxsize=2)
 def _load(path: str):
     """The tokenizer and the number of bytes of each of its tokens."""
@@ -91,16 +108,18 @@ def _load(path: str):
 
 
 def _encode(path: str):
-    """(digest, chunk) -> (digest, chunk, ids, first): first = index of the first token of each word."""
+    """(digest, chunk) -> (digest, ids); the first token ``i`` of a word is written as ``-1 - i``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, _ = _load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                enc = t.encode_batch(piece.column(1).to_pylist(), add_special_tokens=False)
-                first = [np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)).astype(np.int32) for e in enc]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([e.ids for e in enc], pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int32()))], names=["h", "chunk", "ids", "first"])
+                made = []
+                for e in t.encode_batch(piece.column(1).to_pylist(), add_special_tokens=False):
+                    ids = np.array(e.ids, np.int32)
+                    made.append(np.where(np.diff(np.array(e.word_ids, np.int64), prepend=-1) != 0, -1 - ids, ids))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made, pa.list_(pa.int32()))], names=["h", "ids"])
 
     return run
 
@@ -158,6 +177,7 @@ def _repair(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, size = _load(path)
+        table = _bytes_of(path)
 
         def encode(b: bytes) -> tuple[np.ndarray, np.ndarray]:
             e = t.encode(b.decode("utf-8"), add_special_tokens=False)
@@ -169,8 +189,12 @@ def _repair(path: str):
             for r in range(batch.num_rows):
                 parts = lists[r].values  # struct array of the row's chunks in order
                 place = np.asarray(parts.field("place"))
-                chunk, ids, first = parts.field("chunk"), parts.field("ids"), parts.field("first")
-                made.append(joined_ids([(chunk[i].as_py().encode("utf-8"), np.asarray(ids[i].values, np.int32), np.asarray(first[i].values, np.int64)) for i in map(int, np.argsort(place, kind="stable"))], encode, size))
+                signed, chunks = parts.field("ids"), []
+                for i in map(int, np.argsort(place, kind="stable")):
+                    x = np.asarray(signed[i].values, np.int32)
+                    ids = np.where(x < 0, -1 - x, x)
+                    chunks.append((b"".join(map(table.__getitem__, ids.tolist())), ids, np.flatnonzero(x < 0)))
+                made.append(joined_ids(chunks, encode, size))
             yield pa.RecordBatch.from_arrays([keys, pa.array(made, pa.list_(pa.int32()))], names=["t", "ids"])
 
     return run
@@ -185,9 +209,9 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     texts = spread(keyed.where("t IS NOT NULL").groupBy("t").agg(F.min("text").alias("text"), F.count("*").alias("n")))
     pieces = texts.select("t", "text").mapInArrow(_cut, "t string, place int, chunk string").select("t", "place", F.md5("chunk").alias("h"), "chunk")
     distinct = materialise(pieces.groupBy("h").agg(F.min("chunk").alias("chunk"), F.count("*").alias("uses")), "chunks")
-    encode = lambda df: spread(df.select("h", "chunk")).mapInArrow(_encode(path), "h string, chunk string, ids array<int>, first array<int>")
+    encode = lambda df: spread(df.select("h", "chunk")).mapInArrow(_encode(path), "h string, ids array<int>")
     back = join_on_skewed_key(pieces.select("t", "place", "h"), distinct, "h", "uses", prepare=encode)
-    by_text = back.groupBy("t").agg(F.collect_list(F.struct("place", "chunk", "ids", "first")).alias("parts"))
+    by_text = back.groupBy("t").agg(F.collect_list(F.struct("place", "ids")).alias("parts"))
     ids = materialise(by_text.mapInArrow(_repair(path), "t string, ids array<int>"), "ids")
     counted = keyed.where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"))
     done = join_on_skewed_key(keyed.where("t IS NOT NULL").select("doc_id", "t"), counted, "t", "n", prepare=lambda df: ids.join(df.select("t"), "t", "left_semi"))
