@@ -49,8 +49,13 @@ def plain(text: str) -> str:
     return " " + " ".join(re.findall(r"[^\W_]+(?:['’̀-ͯ][^\W_]*)*", t)) + " "
 
 
+#: All combining marks, to be deleted.
+_MARKS = dict.fromkeys(o for o in range(0x300, 0x1F000) if unicodedata.combining(chr(o)))
+
+
 def bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    """Without accents and other combining marks."""
+    return text if text.isascii() else unicodedata.normalize("NFD", text).translate(_MARKS)
 
 
 class PPM:
@@ -156,7 +161,11 @@ class PPM:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language."""
-        enc = [plain(t).encode() for t in texts]
+        return self.score_plain([plain(t) for t in texts])
+
+    def score_plain(self, texts: list[str]) -> np.ndarray:
+        """The same for texts that went through ``plain``."""
+        enc = [t.encode() for t in texts]
         size = np.array([len(e) for e in enc], np.int64)
         return self.bits(np.frombuffer(b"".join(enc), np.uint8), np.repeat(np.arange(len(enc)), size), len(enc))
 
@@ -170,9 +179,9 @@ def units(text: str) -> list[str]:
     return [text[a:b] for a, b in _SPLIT.split(text) if any(c.isalpha() for c in text[a:b])]
 
 
-def letters(text: str) -> int:
-    """Letters that are scored."""
-    return sum(c.isalpha() for c in plain(text))
+def letters(plain_text: str) -> int:
+    """Letters of a text that went through ``plain``."""
+    return len(plain_text) - plain_text.count(" ")
 
 
 def assign(sents: list[str], bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +237,8 @@ def segments(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                         owner += [r] * len(own)
                 if not sents or not m.langs:
                     continue
-                bits, size, owner = m.score(sents), np.array([letters(s) for s in sents]), np.array(owner)
+                ready = [plain(s) for s in sents]
+                bits, size, owner = m.score_plain(ready), np.array([letters(s) for s in ready]), np.array(owner)
                 for r in np.unique(owner):
                     i = np.flatnonzero(owner == r)
                     l, c = assign([sents[k] for k in i], bits[i], size[i])

@@ -15,6 +15,7 @@ feature keeps the floor as its spread; repeated documents are judged alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.language_ppm import LEAST, PPM, SAMPLES_PER_LANGUAGE, assign, bare, letters, units
+from corpusloom.llm.language_ppm import LEAST, PPM, SAMPLES_PER_LANGUAGE, assign, bare, letters, plain, units
 from corpusloom.runtime import materialise, spread
 
 FEATURES = ("func", "link", "tag", "digit", "repeat", "even")
@@ -54,20 +55,22 @@ def function_words(samples: dict[str, list[str]]) -> dict[str, frozenset[str]]:
 
 
 def text_features(text: str, parts: list[tuple[str, frozenset[str]]]) -> list[float] | None:
-    """The features of a text and its number of tokens; ``parts`` are its sentences with the function words of each one's language."""
+    """The features of a text and its number of tokens; ``parts`` are its sentences after ``plain``, with the function words of each one's language."""
     rest, links = _LINK.subn(" ", text)
     rest, tags = _TAG.subn(" ", rest)
-    words = [bare(w.lower()) for w in _WORD.findall(rest)]
-    numbers = len(_NUMBER.findall(rest))
+    words, hits = [], 0
+    for part, func in parts:
+        own = bare(part).split()
+        words += own
+        hits += sum(w in func for w in own)
     total = len(words) + links + tags
     if not total:
         return None
-    hits = sum(bare(w.lower()) in func for part, func in parts for w in _WORD.findall(_TAG.sub(" ", _LINK.sub(" ", part))))
-    pairs = list(zip(words, words[1:]))
-    repeat = 1 - len(set(pairs)) / len(pairs) if pairs else 0.0
-    n = np.array(list(Counter(words).values()), float)
-    even = float(-(n / n.sum() * np.log(n / n.sum())).sum() / np.log(n.sum())) if len(words) > 1 else 1.0
-    return [min(1.0, hits / total), links / total, tags / total, min(1.0, numbers / total), repeat, even, float(total)]
+    pairs = len(words) - 1
+    repeat = 1 - len(set(zip(words, words[1:]))) / pairs if pairs > 0 else 0.0
+    n = len(words)
+    even = -sum(c * math.log(c / n) for c in Counter(words).values()) / n / math.log(n) if n > 1 else 1.0
+    return [min(1.0, hits / total), links / total, tags / total, min(1.0, len(_NUMBER.findall(rest)) / total), repeat, even, float(total)]
 
 
 def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
@@ -91,7 +94,8 @@ def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_c
                         own = units(t)
                         sents += own
                         owner += [r] * len(own)
-                bits, size, owner = m.score(sents) if sents else np.zeros((0, len(m.langs))), np.array([letters(s) for s in sents], np.int64), np.array(owner, np.int64)
+                ready = [plain(s) for s in sents]
+                bits, size, owner = m.score_plain(ready) if sents else np.zeros((0, len(m.langs))), np.array([letters(s) for s in ready], np.int64), np.array(owner, np.int64)
                 lo, hi = np.searchsorted(owner, np.arange(len(texts))), np.searchsorted(owner, np.arange(len(texts)), side="right")
                 langs, lists, feats = [], [], []
                 for r, t in enumerate(texts):
@@ -105,7 +109,7 @@ def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_c
                     own.sort(key=lambda x: (-x["letters"], x["lang"]))
                     langs.append(own[0]["lang"] if own else None)
                     lists.append(own)
-                    parts = [(x, func.get(m.langs[k], none)) for x, k in zip(sents[i], l)]
+                    parts = [(x, func.get(m.langs[k], none)) for x, k in zip(ready[i], l)] if len(l) else [(x, none) for x in ready[i]]
                     feats.append((text_features(t, parts) if t else None) or [None] * (len(FEATURES) + 1))
                 cols = [pa.array([f[k] for f in feats], pa.float64()) for k in range(len(FEATURES) + 1)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(langs, pa.string()), pa.array(lists, pa.list_(found)), *cols], names=["id", "label", "lang", "found", *FEATURES, "tokens"])
