@@ -120,6 +120,8 @@ PLAIN = sb.BoundaryModel(dict(sb.PRIOR), {}, {})
         ("ሰላም ነው። እንዴት ነህ፧ ደህና፡፡ አዎ", ["ሰላም ነው።", "እንዴት ነህ፧", "ደህና፡፡", "አዎ"]),
         ("a line\r\nanother\n\n third ", ["a line", "another", "third"]),
         ("Seen at www.a.test/p?id=3 by Mr. Zezi Howul. Yes", ["Seen at www.a.test/p?id=3 by Mr. Zezi Howul.", "Yes"]),
+        ("ክብደት 70,40 ነው።260 ዓመት ሆነ", ["ክብደት 70,40 ነው።", "260 ዓመት ሆነ"]),
+        ("OPENING ZUSEWEB.EXAMPLE. WAIT", ["OPENING ZUSEWEB.EXAMPLE.", "WAIT"]),
         ("End.Start without space", ["End.", "Start without space"]),
         ("", []),
         (" \n ", []),
