@@ -35,8 +35,8 @@ FLOOR = np.array([0.05, 0.05, 0.05, 0.05, 0.1, 0.1])
 CLIP = 3.0
 SHRINK = 0.5
 LEAST_DOCS = 20
-FEW_TOKENS = 6
-DISTANCE, PROJECTION = 6.0, 5.6
+FEW_TOKENS = 10
+DISTANCE, PROJECTION = 6.0, 5.3
 #: A word is a function word of its language if at least this many of its samples (and this share) hold it.
 FUNCTION_ROWS, FUNCTION_SHARE = 2, 0.04
 
