@@ -39,7 +39,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Give a scan with fewer tasks than cores more of them; a scan that is already wide isn't shuffled."""
+    """Give a scan with fewer tasks than cores more of them; a scan that is already wide isn't shuffled.
+
+    For plans without a shuffle only: counting the tasks of one with a shuffle would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
