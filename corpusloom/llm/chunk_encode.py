@@ -206,14 +206,13 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     full = F.col("text").isNotNull() & (F.col("text") != "")
     keyed = rows.select("doc_id", "text", F.when(full, F.md5("text")).alias("t"))
-    texts = spread(keyed.where("t IS NOT NULL").groupBy("t").agg(F.min("text").alias("text"), F.count("*").alias("n")))
-    pieces = texts.select("t", "text").mapInArrow(_cut, "t string, place int, chunk string").select("t", "place", F.md5("chunk").alias("h"), "chunk")
+    texts = materialise(keyed.where("t IS NOT NULL").groupBy("t").agg(F.min("text").alias("text"), F.count("*").alias("n")), "texts")
+    pieces = spread(texts.select("t", "text")).mapInArrow(_cut, "t string, place int, chunk string").select("t", "place", F.md5("chunk").alias("h"), "chunk")
     distinct = materialise(pieces.groupBy("h").agg(F.min("chunk").alias("chunk"), F.count("*").alias("uses")), "chunks")
     encode = lambda df: spread(df.select("h", "chunk")).mapInArrow(_encode(path), "h string, ids array<int>")
     back = join_on_skewed_key(pieces.select("t", "place", "h"), distinct, "h", "uses", prepare=encode)
     by_text = back.groupBy("t").agg(F.collect_list(F.struct("place", "ids")).alias("parts"))
     ids = materialise(by_text.mapInArrow(_repair(path), "t string, ids array<int>"), "ids")
-    counted = keyed.where("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n"))
-    done = join_on_skewed_key(keyed.where("t IS NOT NULL").select("doc_id", "t"), counted, "t", "n", prepare=lambda df: ids.join(df.select("t"), "t", "left_semi"))
+    done = join_on_skewed_key(keyed.where("t IS NOT NULL").select("doc_id", "t"), texts.select("t", "n"), "t", "n", prepare=lambda df: ids.join(df.select("t"), "t", "left_semi"))
     nothing = keyed.where("t IS NULL").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return done.select("doc_id", "ids").unionByName(nothing)
