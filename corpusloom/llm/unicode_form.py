@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.llm.codepoints import pack, rows_of, slices, unpack
+from corpusloom.runtime import materialise
 
 # Letters of other scripts that are drawn like a Latin letter (after decomposition).
 LOOK_ALIKE = {
@@ -182,8 +183,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text that holds a third of all rows makes pairs only with the strings that differ from it.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("s")).where(F.col("s").rlike(r"\S"))
-    rows = rows.select("id", F.xxhash64("s").alias("h"), "s", consistent_form("s").alias("form"))
-    rows = rows.where(F.trim("form") != "").select("id", F.md5("s").alias("s"), F.md5("form").alias("form"))
+    rows = rows.select("id", "s", consistent_form("s").alias("form"))
+    rows = materialise(rows.where(F.trim("form") != "").select("id", F.md5("s").alias("s"), F.md5("form").alias("form")), "forms")
     classes = rows.groupBy("form", "s").agg(F.count("*").alias("n"))
     mixed = classes.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
     pairs = classes.join(mixed, "form", "left_semi")
