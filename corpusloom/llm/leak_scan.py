@@ -4,20 +4,26 @@ Words (letters, marks, digits; one case, composed) are hashed to 64 bits. Every
 ``WINDOW`` consecutive words, of items and of documents, gets a SimHash: the sign of the window's
 sum of weighted bit votes, taken from running sums, so a window costs the same at any length. The
 fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within ``BLOCKS - 1`` bits share a block
-(pigeonhole), so look-ups by block find all of them. A candidate is then verified exactly: weighted
-shingle similarity of the two windows, and for ``passages`` the run of equal words itself.
+(pigeonhole), so look-ups by block find all of them. A candidate is then verified exactly, as a run
+of equal words.
+
+Near copies are windows of an item's own length whose weighted shingle similarity with the whole item
+is ``least`` or more. No radius of a fingerprint holds all of these, so their candidates come from the
+shingles: such a window holds at least ``least`` of the item's shingles, hence one of any
+``1 - least`` of them and one more (pigeonhole). Every window of such a document is compared exactly.
 
 The item side is a stated query set. It is held in blocks of at most ``ITEM_WORDS`` words each,
 broadcast one after the other, and every document is scanned against every block; no pair of
 documents is ever formed and no item is left out.
 
 Defined cases: null and empty documents and items contain nothing; items or documents of fewer than
-``WINDOW`` words cannot share a passage; a document is reported once per item however often the
+``WINDOW`` words cannot share a passage; a document shorter than an item is one window for near copies; a document is reported once per item however often the
 passage occurs; equal items are each reported; documents may be of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +124,111 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> np.
     return out
 
 
-def _scan(index_of, least: float, exact: bool):
+def shingled(words: np.ndarray, row: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of all runs of ``size`` words that lie in one row, in order."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k]
+        h ^= h >> np.uint64(29)
+    one = row[:n] == row[size - 1 :]
+    return h[one], row[:n][one]
+
+
+def _at_least(x: float) -> int:
+    """The smallest whole number from ``x`` on; a product's rounding error doesn't raise it."""
+    return max(1, math.ceil(x - 1e-9))
+
+
+class NearIndex:
+    """Shingles of the items, and for each item so many of them that no near copy is without one."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, item: np.ndarray, least: float):
+        if not 0 < least <= 1:
+            raise ValueError("least must lie in (0, 1]")
+        self.ids, self.least = ids, least
+        shingles, of = shingled(words, item)
+        long = np.bincount(item, minlength=len(ids)) >= WINDOW
+        bounds = np.searchsorted(of, np.arange(len(ids) + 1))
+        keys, inverse, often = np.unique(shingles, return_inverse=True, return_counts=True)
+        self.sets: list[tuple[np.ndarray, np.ndarray] | None] = []
+        anchors, owners = [], []
+        for i in range(len(ids)):
+            at = slice(bounds[i], bounds[i + 1])
+            own, m = inverse[at], bounds[i + 1] - bounds[i]
+            if not long[i]:
+                self.sets.append(None)
+                continue
+            self.sets.append(np.unique(shingles[at], return_counts=True))
+            rare = own[np.lexsort((own, often[own]))][: m - _at_least(least * m) + 1]
+            anchors.append(np.unique(rare))
+            owners.append(np.full(len(anchors[-1]), i, np.int64))
+        key = keys[np.concatenate(anchors)] if anchors else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.owner = np.concatenate(owners)[order] if anchors else np.zeros(0, np.int64)
+        self.keys, self.first = np.unique(key[order], return_index=True)
+        self.first = np.append(self.first, len(key))
+
+    def candidates(self, shingles: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, item) of all documents that hold one of the item's anchors."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == shingles)
+        both = np.unique(doc[hit] * np.int64(len(self.keys)) + at[hit])
+        doc, at = both // len(self.keys), both % len(self.keys)
+        pairs = [np.zeros(0, np.int64)]
+        n = self.first[at + 1] - self.first[at]
+        for p in _pieces(n):
+            m = n[p]
+            i = self.owner[np.repeat(self.first[at[p]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            pairs.append(np.unique(np.repeat(doc[p], m) * np.int64(len(self.ids)) + i))
+        for x in np.unique(np.concatenate(pairs)).tolist():
+            yield divmod(x, len(self.ids))
+
+    def similar(self, item: int, shingles: np.ndarray) -> np.ndarray:
+        """Similarities of ``least`` or more of the windows of the item's length in one document's shingles."""
+        keys, often = self.sets[item]
+        m = int(often.sum())
+        size = min(m, len(shingles))
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        held = keys[at] == shingles
+        run = np.concatenate([[0], np.cumsum(held)])
+        out = []
+        for s in np.flatnonzero(run[size:] - run[: len(run) - size] >= _at_least(self.least * (m + size) / (1 + self.least))):
+            own = at[s : s + size][held[s : s + size]]
+            both = int(np.minimum(np.bincount(own, minlength=len(keys)), often).sum())
+            out.append(both / (m + size - both))
+        out = np.array(out)
+        return out[out >= self.least]
+
+
+def _scan_near(items_of, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = NearIndex(*items_of.value, least)
+        for batch in batches:
+            for at, n in slices(batch.column(1)):
+                words, doc, _ = hashed_words(batch.column(1).slice(at, n))
+                long = np.bincount(doc, minlength=n) >= WINDOW
+                shingles, doc = shingled(words, doc)
+                bounds = np.searchsorted(doc, np.arange(n + 1))
+                found = []
+                for d, i in index.candidates(shingles, doc):
+                    if long[d] and len(sim := index.similar(i, shingles[bounds[d] : bounds[d + 1]])):
+                        found.append((i, d, sim.max(), len(sim)))
+                if found:
+                    i, d, best, windows = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(index.ids[list(i)], pa.int64()), batch.column(0).slice(at, n).take(pa.array(d, pa.int64())).cast(pa.int64()), pa.array(best, pa.float64()), pa.array(windows, pa.int64())],
+                        names=["item_id", "doc_id", "similarity", "windows"],
+                    )
+
+    return run
+
+
+def _scan(index_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = ItemIndex(*index_of.value)
         span = np.arange(index.size)
@@ -132,15 +242,13 @@ def _scan(index_of, least: float, exact: bool):
                 if not len(d):
                     continue
                 a, b = words[start[d][:, None] + span], index.words[index.start[i][:, None] + span]
-                sim = shingle_similarity(a, b)
-                ok = (a == b).all(axis=1) if exact else sim >= least
-                hit_doc, hit_item, sim = doc[start[d[ok]]], index.item[index.start[i[ok]]], sim[ok]
+                ok = (a == b).all(axis=1)
+                hit_doc, hit_item = doc[start[d[ok]]], index.item[index.start[i[ok]]]
                 if not len(hit_doc):
                     continue
                 keys = hit_doc * np.int64(len(index.ids)) + hit_item
                 uniq, inv = np.unique(keys, return_inverse=True)
-                best, windows = np.zeros(len(uniq)), np.bincount(inv)
-                np.maximum.at(best, inv, sim)
+                best, windows = np.ones(len(uniq)), np.bincount(inv)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(index.ids[uniq % len(index.ids)], pa.int64()), batch.column(0).slice(at, n).take(pa.array(uniq // len(index.ids))).cast(pa.int64()), pa.array(best, pa.float64()), pa.array(windows, pa.int64())],
                     names=["item_id", "doc_id", "similarity", "windows"],
@@ -173,19 +281,19 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most_words: int =
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: float = 0.8, exact: bool = True) -> DataFrame:
     """(item_id, doc_id, similarity, windows) of all documents with a window of an item.
 
-    ``exact``: the window's words are the same; else windows of shingle similarity ``least`` or more
-    among those within the fingerprint radius.
+    ``exact``: ``WINDOW`` words in a row are the same; else all windows of the item's own length whose
+    shingle similarity with it is ``least`` or more.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
     out = None
     for block in item_blocks(items, item_id, text):
         held = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(_scan(held, least, exact), "item_id bigint, doc_id bigint, similarity double, windows bigint")
+        part = rows.mapInArrow(_scan(held) if exact else _scan_near(held, least), "item_id bigint, doc_id bigint, similarity double, windows bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "item_id bigint, doc_id bigint, similarity double, windows bigint")
     return out.groupBy("item_id", "doc_id").agg(F.max("similarity").alias("similarity"), F.sum("windows").alias("windows"))
 
 
-__all__ = ["ItemIndex", "leaks", "pc", "shingle_similarity", "unpack", "window_prints"]
+__all__ = ["ItemIndex", "NearIndex", "leaks", "pc", "shingle_similarity", "unpack", "window_prints"]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -337,3 +338,46 @@ def test_shingle_similarity():
     a = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]], np.uint64)
     b = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 7]], np.uint64)
     assert ls.shingle_similarity(a, b).tolist() == [1.0, 1 / 3]
+
+
+def test_near_copies_of_whole_items(spark):
+    words = [f"w{i}" for i in range(67)]
+    changed, inserted = words[:30] + ["other"] + words[31:], words[:30] + ["more"] + words[30:]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "few words only")], "item_id bigint, text string")
+    rows = [(1, "a b c " + " ".join(changed) + " d e"), (2, "a " + " ".join(words[:30] + words[31:]) + " d"), (3, " ".join(inserted)), (4, " ".join(words[1:])), (5, " ".join(words[:40])), (6, "few words only"), (7, " ".join(w if i % 9 else "x" for i, w in enumerate(words))), (8, None)]
+    got = {(r["item_id"], r["doc_id"]): r["similarity"] for r in ls.leaks(frame(spark, rows), items, "k", exact=False).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (1, 4)}
+    assert got[1, 1] == pytest.approx(58 / 68)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_near_copies_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    items = [rng.integers(0, 2**62, 3 + int(rng.integers(10, 40))).astype(np.uint64) for _ in range(12)]
+    items += [np.tile(items[0][:3], 8), np.concatenate([items[1], items[1]])]
+    docs = []
+    for x in items:
+        for _ in range(12):
+            y = list(x)
+            for _ in range(int(rng.integers(0, 4))):
+                k = int(rng.integers(0, len(y)))
+                y = [y[:k] + y[k + 1 :], y[:k] + [np.uint64(7)] + y[k:], y[:k] + [np.uint64(7)] + y[k + 1 :]][int(rng.integers(0, 3))]
+            docs.append(np.array([np.uint64(1)] * int(rng.integers(0, 3)) + y + [np.uint64(2)] * int(rng.integers(0, 3)), np.uint64))
+
+    def flat(x):
+        return np.concatenate(x), np.repeat(np.arange(len(x)), [len(r) for r in x])
+
+    index = ls.NearIndex(np.arange(len(items)), *flat(items), 0.8)
+    shingles, doc = ls.shingled(*flat(docs))
+    got = {(d, i) for d, i in index.candidates(shingles, doc) if len(index.similar(i, shingles[doc == d]))}
+    wanted = set()
+    for d, y in enumerate(docs):
+        for i, x in enumerate(items):
+            a = [tuple(x[k : k + 5]) for k in range(len(x) - 4)]
+            b = [tuple(y[k : k + 5]) for k in range(len(y) - 4)]
+            size = min(len(a), len(b))
+            for s in range(len(b) - size + 1):
+                ca, cb = Counter(a), Counter(b[s : s + size])
+                if (ca & cb).total() / (ca | cb).total() >= 0.8:
+                    wanted.add((d, i))
+    assert got == wanted and len(wanted) > len(items)
