@@ -16,7 +16,6 @@ from corpusloom.plans import sqltext as sql
 from corpusloom.runtime import scratch, spread, table
 
 TOP = 100
-QUERY_VOCABULARY = 2_000
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +148,7 @@ def family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "preprocess_text").where("text IS NOT NULL").select("file", "text"))
-    return bpe.train(lines, QUERY_VOCABULARY)
+    return bpe.train(lines, rules.VOCABULARY)
 
 
 def bpe_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

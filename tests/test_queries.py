@@ -32,6 +32,17 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_registered_queries_train_the_whole_vocabulary(spark, sf_dir, monkeypatch):
+    from corpusloom.functions import rules
+
+    sizes = []
+    train = catalogue.bpe.train
+    monkeypatch.setattr(catalogue.bpe, "train", lambda lines, size=rules.VOCABULARY, **more: sizes.append(size) or train(lines, 200, **more))
+    for name in ("bpe_vocabulary", "encode_tokens", "decode_roundtrip", "benchmark_report"):
+        catalogue.queries()[name](spark, sf_dir)
+    assert sizes == [20_000] * 4
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as e
 
