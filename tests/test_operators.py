@@ -130,6 +130,24 @@ def test_distributed_rounds_equal_loop(spark):
     assert bpe.merge_rounds(df, 12, bpe.Guard(set(base))) == bpe.merge_loop(words, 12, bpe.Guard(set(base)))
 
 
+def test_distributed_rounds_after_refusals_equal_loop(spark):
+    """Refused pairs still make new ones, and a round of refusals alone isn't the end."""
+    words = [(list("ab"), 210), (list("abc"), 90), (list("de"), 80), (list("xy"), 200), (list("yz"), 150)]
+    df = spark.createDataFrame(words, "units array<string>, n bigint")
+    known = {*"abcdexyz", "ab"}  # refused in the first round, which ends at yz
+    wanted = bpe.merge_loop(words, 4, bpe.Guard(set(known)))
+    assert [a + b for a, b, _ in wanted] == ["xy", "yz", "bc", "abc"]
+    assert bpe.merge_rounds(df, 4, bpe.Guard(set(known))) == wanted
+    words = [([f"l{i}", f"r{i}"], 100 - i) for i in range(20)]
+    df = spark.createDataFrame(words, "units array<string>, n bigint")
+    known = {x for u, _ in words for x in u} | {f"l{i}r{i}" for i in range(18)}
+    wanted = bpe.merge_loop(words, 5, bpe.Guard(set(known)))
+    assert len(wanted) == 2 and bpe.merge_rounds(df, 5, bpe.Guard(set(known)), most=1) == wanted
+    words = [(list("aaa"), 50), (list("bc"), 45)]
+    df = spark.createDataFrame(words, "units array<string>, n bigint")
+    assert bpe.merge_rounds(df, 2, bpe.Guard(set("abc"))) == bpe.merge_loop(words, 2, bpe.Guard(set("abc")))
+
+
 def test_budgets():
     assert bpe.budgets(20_000, 300) == {"agglutination": (5516, 1379), "fusional": (4482, 2413), "analytic": (2364, 3546)}
     assert sum(a + b for a, b in bpe.budgets(50, 95).values()) <= 0
