@@ -2,11 +2,13 @@
 
 Labelled exemplars (below; more can be passed in) are indexed by their features: words and word pairs
 of a masked text, where numbers, hosts, request ids and unfilled placeholders are one token per kind.
-Document frequencies of the exemplars' features are counted over the whole table. A line is cut into
+Document frequencies of all features are counted over the whole table. A line is cut into
 passage windows (at most ``WINDOW`` tokens of one sentence); the index gives the exemplars that share
 features with a window, and the best TF-IDF containment (weight of the window's features that the exemplar
 holds, over the window's whole weight) is its score. A line is residue if windows scoring ``WINDOW_LEAST`` or
-more cover ``COVER`` of its weight, or if any window is a placeholder exemplar.
+more cover ``COVER`` of its weight, or if any window is a placeholder exemplar. Lines in which no window
+could reach ``WINDOW_LEAST`` even if all features outside the exemplars stood in every line are dropped first;
+the frequencies of the others' features are joined to them.
 
 Defined cases: null, blank and wordless texts aren't residue; ordinary sentences around a notice keep
 the coverage low; repeated lines are all reported; lines of any length are read whole.
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import spread
+from corpusloom.runtime import materialise, spread
 
 WINDOW = 12
 STRIDE = 6
 WINDOW_LEAST = 0.62
 COVER = 0.8
+#: Most distinct features a task holds while it counts; then it passes on what it has.
+HELD = 200_000
 
 # Labelled residue, one exemplar a line; # stands for a number.
 ERRORS = """
@@ -219,6 +223,11 @@ def features(toks: list[str]) -> list[str]:
     return toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
 
 
+def line_features(text: str) -> set[str]:
+    """Distinct features of a line's windows; a pair doesn't reach across sentences."""
+    return {f for part in _SENT.split(masked(text)) for f in features(tokens(part))}
+
+
 class ResidueIndex:
     """Inverted index of the exemplars with the table's document frequencies."""
 
@@ -230,10 +239,17 @@ class ResidueIndex:
             for f in set(toks if kind == "bag" else features(toks)):
                 self.posting[f].append(i)
         self.n = max(n, 1)
-        top = math.log(self.n + 1) + 1
-        self.weight = {f: math.log((self.n + 1) / (df.get(f, 0) + 1)) + 1 for f in self.posting}
+        self.weight = {f: self.idf(df.get(f, 0)) for f in self.posting}
         self.weight["#"] = min(self.weight.get("#", 1.0), 1.0)
-        self.other = max(2.0, 0.6 * top)  # a feature no exemplar has
+        self.other: dict[str, float] = {}  # weights of the line's features that no exemplar has
+
+    def idf(self, df: int) -> float:
+        return math.log((self.n + 1) / (df + 1)) + 1
+
+    def possible(self, text: str) -> bool:
+        """Whether a window could score ``WINDOW_LEAST``: features that no exemplar has weigh 1 or more."""
+        self.other = {}
+        return any(c >= WINDOW_LEAST for c, _, _ in self.scored(text))
 
     def scored(self, text: str) -> list[tuple[float, float, str]]:
         """(containment, weight, kind) of the windows of a line."""
@@ -257,9 +273,10 @@ class ResidueIndex:
         total, own, bag_total, got = 0.0, 0.0, 0.0, defaultdict(float)
         for k, f in enumerate(features(win)):
             w = self.weight.get(f)
-            total += self.other if w is None else w
+            v = self.other.get(f, 1.0) if w is None else w
+            total += v
             if k < len(win):
-                bag_total += self.other if w is None else w
+                bag_total += v
             if w is not None:
                 for i in self.posting[f]:
                     got[i] += w
@@ -272,8 +289,12 @@ class ResidueIndex:
                 best, kind = c, self.kinds[i]
         return best, total, kind
 
-    def verdict(self, text: str) -> tuple[float, str]:
-        """(coverage, kind): coverage 1 and kind placeholder for a line with a placeholder."""
+    def verdict(self, text: str, df: dict[str, int]) -> tuple[float, str]:
+        """(coverage, kind): coverage 1 and kind placeholder for a line with a placeholder.
+
+        ``df``: document frequencies of the line's features that no exemplar has.
+        """
+        self.other = {f: self.idf(n) for f, n in df.items()}
         windows = self.scored(text)
         if not windows:
             return 0.0, ""
@@ -297,28 +318,53 @@ def residue(df: DataFrame, id_col: str, text_col: str, more: list[tuple[str, str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, seen = 0, Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["f", "n"])
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n += 1
                 if t:
-                    seen.update(wanted.intersection(features(tokens(masked(t)))))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["f", "n"])
+                    seen.update(line_features(t))
+                if len(seen) >= HELD:
+                    yield counted()
+                    n, seen = 0, Counter()
+        yield counted()
 
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    stats = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(count, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    counts = materialise(rows.select("text").mapInArrow(count, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")), "features")
+    few = spark.createDataFrame([(f,) for f in ["", *wanted]], "f string")
+    stats = {r["f"]: r["n"] for r in counts.join(F.broadcast(few), "f").collect()}
     held = spark.sparkContext.broadcast((items, stats, stats.pop("", 0)))
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ResidueIndex(*held.value)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t) and index.possible(t) for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(line_features(t) - wanted) for t in batch.column(1).to_pylist()]
+            for k in range(0, len(own), 1000):
+                part = own[k : k + 1000]
+                key = batch.column(0).slice(k, len(part)).take(pa.array([r for r, x in enumerate(part) for _ in x], pa.int64()))
+                yield pa.RecordBatch.from_arrays([key, pa.array([f for x in part for f in x], pa.string())], names=["key", "f"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ResidueIndex(*held.value)
         for batch in batches:
             row, kinds, cover = [], [], []
-            for r, t in enumerate(batch.column(1).to_pylist()):
-                if t:
-                    c, kind = index.verdict(t)
-                    if c > 0:
-                        row.append(r)
-                        kinds.append(kind)
-                        cover.append(c)
+            for r, (t, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                c, kind = index.verdict(t, {x["f"]: x["n"] for x in own or ()})
+                if c > 0:
+                    row.append(r)
+                    kinds.append(kind)
+                    cover.append(c)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(kinds, pa.string()), pa.array(cover, pa.float64()), pa.array([c >= COVER for c in cover], pa.bool_())], names=["id", "kind", "coverage", "is_residue"])
 
-    return rows.mapInArrow(score, "id bigint, kind string, coverage double, is_residue boolean")
+    kept = rows.mapInArrow(possible, "id bigint, text string").withColumn("key", F.monotonically_increasing_id())
+    kept = materialise(kept, "lines")
+    own = kept.select("key", "text").mapInArrow(other, "key bigint, f string").join(counts, "f")
+    own = own.groupBy("key").agg(F.collect_list(F.struct("f", "n")).alias("own"))
+    return kept.join(own, "key", "left").select("id", "text", "own").mapInArrow(score, "id bigint, kind string, coverage double, is_residue boolean")

@@ -174,6 +174,25 @@ def test_residue(spark):
     assert rs.residue(frame(spark, []), "k", "text").count() == 0
 
 
+def test_residue_depends_on_shares_not_on_rows(spark):
+    """The same lines many times over get the same verdicts; real frequencies count outside the exemplars too."""
+    few = ["please enable javascript to view this page amid early harvest songs"] * 2 + ["please enable javascript to view this page of the old mill"] * 2
+    few += ["of the old mill"] * 40 + [f"plain words number {'abcdefghij'[i % 10]} again" for i in range(156)]
+
+    def cover(times):
+        rows = [(i, t) for i, t in enumerate(few * times)]
+        got = {r["id"]: round(r["coverage"], 1) for r in rs.residue(frame(spark, rows), "k", "text").collect()}
+        return got.get(0, 0), got.get(2, 0), len(got)
+
+    one, many = cover(1), cover(40)
+    assert one[:2] == many[:2] and many[2] == 40 * one[2]
+
+    items, df = rs.exemplars(), {f: 20 for f in rs.line_features(few[0])}
+    index = rs.ResidueIndex(items, df, 4000)
+    c = [index.verdict(few[0], {f: n for f in rs.line_features(few[0]) - set(index.posting)})[0] for n in (20, 4000)]
+    assert c == [0.0, 1.0]
+
+
 # --- 6 and 10: language and spam -------------------------------------------------------------------
 
 
