@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
 from corpusloom.functions.regexkit import S, W, digit_class, java, replace_all, strip
+from corpusloom.runtime import valid
 
 
 def phrases(lines: str) -> str:
@@ -103,9 +104,13 @@ def removed(text: Column, step: str) -> Column:
     return replace_all(text, pattern, " ", flags)
 
 
-@F.arrow_udf(StringType())
-def unescaped(col: pa.Array) -> pa.Array:
+def unescaped(text: Column | str) -> Column:
     """HTML entities decoded; only texts with an ampersand are touched."""
+    return _unescaped(valid(text))
+
+
+@F.arrow_udf(StringType())
+def _unescaped(col: pa.Array) -> pa.Array:
     has = pc.fill_null(pc.match_substring(col, "&"), False)
     if not pc.any(has).as_py():
         return col

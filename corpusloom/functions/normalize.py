@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
 from corpusloom.functions.regexkit import collapse, java, replace_all
+from corpusloom.runtime import valid
 
 _ONE_TO_ONE = {k: v for k, v in rules.PUNCTUATION.items() if len(v) == 1}
 _DELETED = "".join(k for k, v in rules.PUNCTUATION.items() if not v)
@@ -37,9 +38,13 @@ def plain_punctuation(text: Column) -> Column:
     return F.replace(F.translate(text, "".join(_ONE_TO_ONE) + _DELETED, "".join(_ONE_TO_ONE.values())), F.lit("…"), F.lit("..."))
 
 
-@F.arrow_udf(StringType())
-def composed_and_marked(col: pa.Array) -> pa.Array:
+def composed_and_marked(text: Column) -> Column:
     """Compatibility composition, ASCII punctuation and markers in one pass over the batch."""
+    return _composed_and_marked(valid(text))
+
+
+@F.arrow_udf(StringType())
+def _composed_and_marked(col: pa.Array) -> pa.Array:
 
     def one(t: str | None) -> str | None:
         if t is None or t.isascii():
@@ -112,7 +117,7 @@ _SUFFIX = r"(?i)(_normalized|_norm)?(_dataset|_cln|_cleaned|_clean|_train|_eval|
 def file_key(name: Column) -> Column:
     """Base name of a file without data-set suffixes, as bare ASCII letters and digits."""
     base = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
-    short = F.regexp_replace(F.lower(_ascii_letters(F.lower(F.regexp_replace(base, F.lit(_SUFFIX), F.lit(""))))), "[^a-z0-9]", "")
+    short = F.regexp_replace(F.lower(_ascii_letters(valid(F.lower(F.regexp_replace(base, F.lit(_SUFFIX), F.lit("")))))), "[^a-z0-9]", "")
     return F.when(short != "", short).otherwise(F.lower(base))
 
 

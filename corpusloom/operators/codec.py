@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions import rules
+from corpusloom.runtime import valid
 
 
 class MinTokenEncoder:
@@ -91,7 +92,7 @@ def encoder(vocabulary: DataFrame | dict[str, int]):
         c = F.col(text) if isinstance(text, str) else text
         if not isinstance(c, Column):
             raise TypeError("a column of texts is needed")
-        return run(c)
+        return run(valid(c))
 
     return apply
 
