@@ -24,21 +24,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.llm.codepoints import pack, rows_of, slices, unpack
-from corpusloom.runtime import materialise
+from corpusloom.runtime import heavy_keys, join_on_skewed_key, materialise, valid
 
 # Letters of other scripts that are drawn like a Latin letter (after decomposition).
 LOOK_ALIKE = {
+    # Cyrillic
     "А": "A", "В": "B", "Е": "E", "З": "3", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ԁ": "d", "Ԑ": "Ɛ",
     "а": "a", "е": "e", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ѵ": "v", "ӏ": "l", "Ӏ": "I",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ѵ": "v", "ӏ": "l", "Ӏ": "I", "ԑ": "ɛ", "ә": "ə", "Ә": "Ə", "ө": "ɵ", "Ө": "Ɵ", "ѡ": "w",
+    # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j",
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U",
-    "ɡ": "g", "ɑ": "a", "ı": "i", "ℓ": "l", "ⅼ": "l", "ⅰ": "i", "ǃ": "!", "ᴏ": "o", "ѡ": "w", "ա": "w",
-    "‐": "-", "‑": "-", "−": "-", "˗": "-", "﹘": "-",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Ͻ": "Ɔ", "ͻ": "ɔ", "ͼ": "c", "ε": "ɛ", "ν": "v", "ο": "o", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j",
+    # Armenian
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U", "ա": "w",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U", "ꓛ": "Ɔ",
+    # forms of Latin letters and signs
+    "ɡ": "g", "ɑ": "a", "ı": "i", "ℓ": "l", "ⅼ": "l", "ⅰ": "i", "ǃ": "!", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "‐": "-", "‑": "-", "−": "-", "˗": "-", "﹘": "-", "ʼ": "’",
 }
 
+# Arabic letters that are drawn alike at the start or inside a word (first value) and at its end (second; the letter itself where they differ there).
+JOINED_ALIKE = {"ی": ("ي", "ى"), "ک": ("ك", "ک"), "ہ": ("ه", "ه"), "ھ": ("ه", "ه")}
+
 # Decomposition tags whose forms look like the plain characters. Superscripts, fractions and circled forms don't.
 SAME_LOOK_TAGS = {"<wide>", "<narrow>", "<font>", "<compat>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>"}
 
@@ -148,6 +159,22 @@ def compose(cps: np.ndarray, row: np.ndarray, ccc_of: np.ndarray, keys: np.ndarr
     return cps, row
 
 
+def _joined_alike(cps: np.ndarray, row: np.ndarray, ccc: np.ndarray) -> np.ndarray:
+    """Arabic letters that look the same where they stand: whether a letter follows, marks aside, decides."""
+    if not ((cps >= 0x6A9) & (cps <= 0x6CC)).any():
+        return cps
+    cps = cps.copy()
+    base = np.flatnonzero(ccc[cps] == 0)
+    after = np.append(base[1:], 0)
+    same_row = np.append(row[base[1:]] == row[base[:-1]], False)
+    follows = same_row & (((cps[after] >= 0x620) & (cps[after] <= 0x64A)) | ((cps[after] >= 0x66E) & (cps[after] <= 0x6D3)))
+    own = cps[base].copy()
+    for letter, (inside, at_end) in JOINED_ALIKE.items():
+        cps[base[(own == ord(letter)) & follows]] = ord(inside)
+        cps[base[(own == ord(letter)) & ~follows]] = ord(at_end)
+    return cps
+
+
 def form_of_array(col: pa.Array) -> pa.Array:
     """The consistent form of each text of an Arrow array."""
     start, length, contents, ccc, keys, made = tables()
@@ -160,6 +187,7 @@ def form_of_array(col: pa.Array) -> pa.Array:
         times = length[cps].astype(np.int64)
         to = np.cumsum(times) - times
         big = contents[np.repeat(start[cps] - to, times) + np.arange(int(times.sum()))].astype(np.int64)
+        big = _joined_alike(big, np.repeat(row, times), ccc)
         big, row = compose(big, np.repeat(row, times), ccc, keys, made)
         out.append(pack(big, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64), null))
     return pa.concat_arrays(out) if out else pa.array([], pa.string())
@@ -172,25 +200,38 @@ def _form(col: pa.Array) -> pa.Array:
 
 def consistent_form(col: Column | str) -> Column:
     """Column of the consistent form."""
-    return _form(F.col(col) if isinstance(col, str) else col)
+    return _form(valid(col))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): rows with the same consistent form and different strings, a < b.
+def look_alikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, string_id, links) of every row whose text looks like a different string of another row.
 
-    Null and blank texts have nothing to look at and are left out. Groups whose strings are all equal
-    are dropped before the join, and equal strings are first gathered into one class per string, so a
-    text that holds a third of all rows makes pairs only with the strings that differ from it.
+    Rows of one ``class_id`` look the same, those of one ``string_id`` are the same string (both: the smallest id among
+    them), and ``links`` counts the rows of the class with another string. Null and blank texts have nothing to look at
+    and are left out. Only digests are shuffled; strings are counted on the map side before anything meets by form, and a
+    string that holds a third of all rows is salted.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("s")).where(F.col("s").rlike(r"\S"))
     rows = rows.select("id", "s", consistent_form("s").alias("form"))
     rows = materialise(rows.where(F.trim("form") != "").select("id", F.md5("s").alias("s"), F.md5("form").alias("form")), "forms")
-    classes = rows.groupBy("form", "s").agg(F.count("*").alias("n"))
-    mixed = classes.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
-    pairs = classes.join(mixed, "form", "left_semi")
-    left = pairs.select("form", F.col("s").alias("sa"))
-    right = pairs.select("form", F.col("s").alias("sb"))
-    different = left.join(right, "form").where(F.col("sa") < F.col("sb"))
-    ids = rows.select("s", "id")
-    out = different.select("sa", "sb").join(ids.select(F.col("s").alias("sa"), F.col("id").alias("ia")), "sa").join(ids.select(F.col("s").alias("sb"), F.col("id").alias("ib")), "sb")
-    return out.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    strings = rows.groupBy("form", "s").agg(F.count("*").alias("n"), F.min("id").alias("string_id"))
+    mixed = strings.groupBy("form").agg(F.count("*").alias("kinds"), F.sum("n").alias("whole"), F.min("string_id").alias("class_id")).where("kinds > 1")
+    known = materialise(strings.join(mixed, "form").select("s", "n", "string_id", "class_id", (F.col("whole") - F.col("n")).alias("links")), "strings")
+    heavy = heavy_keys(known, "s", "n")
+    return join_on_skewed_key(rows.select("id", "s"), known.drop("n"), "s", heavy).select("id", "class_id", "string_id", "links")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): rows with the same consistent form and different strings, a < b: the classes of ``look_alikes``, expanded.
+
+    Pairs are made of strings first, then each string's rows are joined to its side, salted where there are many.
+    """
+    rows = materialise(look_alikes(df, id_col, text_col), "look-alikes")
+    strings = rows.groupBy("class_id", "string_id").agg(F.count("*").alias("n"))
+    heavy = heavy_keys(strings, "string_id", "n")
+    left, right = strings.select("class_id", F.col("string_id").alias("sa")), strings.select("class_id", F.col("string_id").alias("sb"))
+    pairs = left.join(right, "class_id").where(F.col("sa") < F.col("sb")).select(F.col("sa").alias("string_id"), "sb")
+    ids = rows.select("id", "string_id")
+    half = join_on_skewed_key(ids, pairs, "string_id", heavy).select(F.col("id").alias("ia"), F.col("sb").alias("string_id"))
+    out = join_on_skewed_key(ids, half, "string_id", heavy)
+    return out.select(F.least("ia", "id").alias("a"), F.greatest("ia", "id").alias("b"))
