@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.sentence_bounds import PRIOR, BoundaryModel
-from corpusloom.runtime import spread
+from corpusloom.runtime import spread, valid
 
 ORDER = 6
 LEAST = 10
@@ -252,7 +252,7 @@ def segments(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                         chars.append(int(size[i][a:b].sum()))
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(seg, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array(count, pa.int32()), pa.array(chars, pa.int64())], names=["id", "segment", "lang", "confidence", "sentences", "letters"])
 
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), valid(text_col).alias("text")))
     return rows.mapInArrow(run, "id bigint, segment int, lang string, confidence double, sentences int, letters bigint")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import slices, unpack
 from corpusloom.llm.wordhash import hashed_words
-from corpusloom.runtime import spread
+from corpusloom.runtime import spread, valid
 
 WINDOW = 12
 SHINGLE = 5
@@ -285,7 +285,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     shingle similarity with it is ``least`` or more.
     """
     spark = docs.sparkSession
-    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), valid(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
     out = None
     for block in item_blocks(items, item_id, text):
         held = spark.sparkContext.broadcast(block)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.language_ppm import LEAST, PPM, SAMPLES_PER_LANGUAGE, assign, bare, letters, plain, units
-from corpusloom.runtime import materialise, spread
+from corpusloom.runtime import materialise, spread, valid
 
 FEATURES = ("func", "link", "tag", "digit", "repeat", "even")
 #: Direction of spam for each feature.
@@ -115,7 +115,7 @@ def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(langs, pa.string()), pa.array(lists, pa.list_(found)), *cols], names=["id", "label", "lang", "found", *FEATURES, "tokens"])
 
     label = F.col(label_col) if label_col else F.lit(None)
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), F.col(text_col).alias("text")))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), valid(text_col).alias("text")))
     schema = "id bigint, label string, lang string, found array<struct<lang:string,sentences:int,letters:bigint,confidence:double>>, " + ", ".join(f"`{f}` double" for f in (*FEATURES, "tokens"))
     return rows.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import spread
+from corpusloom.runtime import spread, valid
 
 MOST_NAMES = 1_000_000
 KINDS = ("email", "phone", "national_id", "address", "name")
@@ -344,5 +344,5 @@ def personal_data(df: DataFrame, id_col: str, text_col: str, names: DataFrame |
                     texts.append(redacted(t, s) if s else t)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["id", "kinds", "redacted"])
 
-    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), valid(text_col).alias("text")))
     return rows.mapInArrow(run, "id bigint, kinds array<string>, redacted string")

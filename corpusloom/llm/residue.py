@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import materialise, spread
+from corpusloom.runtime import materialise, spread, valid
 
 WINDOW = 12
 STRIDE = 6
@@ -332,7 +332,7 @@ def residue(df: DataFrame, id_col: str, text_col: str, more: list[tuple[str, str
                     n, seen = 0, Counter()
         yield counted()
 
-    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), valid(text_col).alias("text")))
     counts = materialise(rows.select("text").mapInArrow(count, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")), "features")
     few = spark.createDataFrame([(f,) for f in ["", *wanted]], "f string")
     stats = {r["f"]: r["n"] for r in counts.join(F.broadcast(few), "f").collect()}

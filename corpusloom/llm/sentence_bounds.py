@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import spread
+from corpusloom.runtime import spread, valid
 
 SAMPLE_ROWS = 30_000
 SAMPLE_CHARS = 20_000
@@ -282,5 +282,5 @@ def sentences(df: DataFrame, id_col: str, text_col: str, model: BoundaryModel |
                 if row:
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(no, pa.int32()), pa.array(end, pa.int64()), pa.array(out, pa.string())], names=["id", "sent_no", "end_char", "sentence"])
 
-    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), valid(text_col).alias("text")))
     return rows.mapInArrow(run, "id bigint, sent_no int, end_char bigint, sentence string")
