@@ -59,6 +59,46 @@ def test_look_alike_pairs(spark):
     assert uf.look_alike_pairs(frame(spark, []), "k", "text").count() == 0
 
 
+def test_letters_that_look_alike_in_this_corpus():
+    pairs = [("ε", "ɛ"), ("Ԑ", "Ɛ"), ("Ͻ", "Ɔ"), ("ʼ", "’"), ("Ꭺ", "A"), ("ꓮ", "A"), ("یک", "يک"), ("مکتب", "مكتب"), ("علی", "على")]
+    for a, b in pairs:
+        one, other = uf.form_of_array(pa.array([a, b])).to_pylist()
+        assert one == other, (a, b)
+    one, other = uf.form_of_array(pa.array(["علی", "علي"])).to_pylist()
+    assert one != other  # dots at the end are visible
+
+
+def test_look_alike_classes(spark):
+    """Also the salted way: a string with a third of the rows has look-alikes."""
+    rows = [(i, "road") for i in range(500)] + [(1000 + i, "rоad") for i in range(5)] + [(2000, "rоаd"), (2001, "roаd")] + [(3000 + i, f"plain {i}") for i in range(1000)]
+    got = {r["id"]: tuple(r)[1:] for r in uf.look_alikes(frame(spark, rows), "k", "text").collect()}
+    assert len(got) == 507 and {v[0] for v in got.values()} == {0}
+    assert got[7] == (0, 0, 7) and got[1003] == (0, 1000, 502) and got[2000] == (0, 2000, 506)
+    pairs = {tuple(r) for r in uf.look_alike_pairs(frame(spark, rows), "k", "text").collect()}
+    strings = dict(rows)
+    ids = sorted(got)
+    assert pairs == {(a, b) for a in ids for b in ids if a < b and strings[a] != strings[b]}
+
+
+BAD = [(1, b"good text of some words, here and there"), (2, b"a \xff\xfe bad \xc3"), (3, b"\xe1\x88 Mr Kiwish. And more text"), (4, None)]
+
+
+def test_bytes_that_are_no_text(spark, samples):
+    """No operator fails on them, and rows beside them come out as without them."""
+    df = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, b in BAD], "k bigint, b binary").select("k", F.col("b").cast("string").alias("text"))
+    assert df.select(uf.consistent_form("text").alias("f")).first()["f"] == BAD[0][1].decode()
+    assert {r["id"] for r in pd_.personal_data(df, "k", "text").collect()} == {1, 2, 3, 4}
+    assert {r["id"] for r in sb.sentences(df, "k", "text", PLAIN).collect()} == {1, 2, 3}
+    assert rs.residue(df, "k", "text").where("is_residue").count() == 0
+    assert {r["id"] for r in ps.judged(ps.profiles(df, samples, "k")).collect()} == {1, 2, 3, 4}
+    assert {r["id"] for r in lp.segments(df, lp.fit(samples), "k").collect()} == {1, 2, 3}
+    got = {r["doc_id"]: list(r["ids"]) for r in ce.encoded(df, "k").collect()}
+    t, _, _ = tokenizer()
+    assert got[1] == t.encode(BAD[0][1].decode(), add_special_tokens=False).ids and got[2] and got[3] and got[4] == []
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id bigint, text string")
+    assert ls.leaks(df, items, "k").count() == 0 and uf.look_alike_pairs(df, "k", "text").count() == 0
+
+
 # --- 2: personal data ------------------------------------------------------------------------------
 
 FINDER = pd_.Finder({"Kiwish", "Rajom"}, {"Wavul", "Dagom"})
@@ -305,6 +345,30 @@ def test_encoded_column(spark):
     assert ce.encoded(frame(spark, []), "k").count() == 0
 
 
+def test_shared_chunks_and_texts(spark):
+    """Passages shared by many texts, one text with a third of the rows, and joins between shared and own chunks."""
+    t, _, _ = tokenizer()
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    shared = word(900)
+    texts = [f"{word(30)} {shared} {word(30)}" for _ in range(6)] + [shared] * 6 + [word(400) for _ in range(6)] + [shared + shared]
+    got = {r["doc_id"]: list(r["ids"]) for r in ce.encoded(frame(spark, list(enumerate(texts))), "k").collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
+def test_unbroken_text_is_linear():
+    t, size, encode = tokenizer()
+    rng = np.random.default_rng(2)
+    work = []
+    for n in (40_000, 160_000):
+        text = "".join(map(chr, rng.integers(97, 123, n)))
+        chunks, seen = [text[i : i + 512] for i in range(0, n, 512)], []
+        got = ce.joined_ids([(c.encode(), *encode(c.encode())) for c in chunks], lambda b: seen.append(len(b)) or encode(b), size)
+        assert list(got) == t.encode(text, add_special_tokens=False).ids
+        work.append(sum(seen) / n)
+    assert work[1] < 1.5 * work[0] + 1 and work[1] < 8
+
+
 def test_cuts_depend_on_content():
     rng = np.random.default_rng(1)
     body = rng.integers(97, 123, 60_000)
