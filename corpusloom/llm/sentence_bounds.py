@@ -1,16 +1,16 @@
 """Problem 4: sentence boundaries by a maximum-entropy classifier trained on reliable boundaries.
 
 Candidates are runs of end marks with the closing quotes, brackets and tags that directly follow;
-line breaks always end a sentence. A bounded sample of ``SAMPLE_ROWS`` rows (smallest hashes of the
-id) gives two statistics: how often a word with its mark stands at a line's end, and how often a word
-starts a line. Candidates whose status these make plain (a proven last word before a capital; a
-lower-case letter, comma or digit after the mark; a word that never ends or never starts a line) are the
-training labels; logistic regression (maximum entropy for two classes) on mark, neighbouring tokens,
-case, length, digits and script then decides every candidate of every row.
+line breaks always end a sentence. The model is fitted on a bounded sample: of the rows of at most ``SAMPLE_CHARS``
+characters the ``SAMPLE_ROWS`` with the smallest hashes of the id. Its reliable boundaries are the ends of real lines, each
+looked at with the next line of the sample behind it; its reliable non-boundaries are marks inside numbers, links and
+hosts, before a lower-case letter or comma, and after words that never end or before words that never start a line.
+Logistic regression (maximum entropy for two classes) on mark, neighbouring tokens, case, length, digits
+and script then decides every candidate of every row, whatever its length.
 
 Defined cases: null and blank texts have no sentence; what remains at a line's end is a sentence
-without a mark; texts of any length are handled in one pass; repeated rows each get their sentences;
-with an empty sample the built-in abbreviations and a prior decide.
+without a mark; tokens, gaps and next words may have any length, and a line is gone through once, in linear time; repeated
+rows each get their sentences; with an empty sample the built-in abbreviations and a prior decide.
 """
 
 from __future__ import annotations
@@ -27,19 +27,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import spread, valid
 
+#: The training sample: at most so many rows, and of these only rows of at most so many characters (whole; so 60 MB at most).
 SAMPLE_ROWS = 30_000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 2_000
+#: Dotted labels of a token that count for its look-up: abbreviations have no more.
+LABELS = 8
 _BREAK = "\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 _LINES = re.compile(f"[^{_BREAK}]+")
 _MARK = re.compile(r"(?:[.!?…‽。！？．։।॥።፧፨؟۔]|፡፡)+(?:[.!?…።፧؟۔]|፡፡)*")
 _CLOSE = re.compile(r"(?:[\"'»”’)\]}›」』]|</[A-Za-z][A-Za-z0-9]*>|(?<=[^ \t])[ \xa0\u202f](?:»|”(?!\w)))+")
 _OPEN = "\"'«“‘([{‹„¿¡*_#-–—<"
-_WORD = re.compile(r"[^\s፡!?።፧؟۔\"'«»“”‘’()\[\]{}<>]+$")
+_RUN = re.compile(r"[^\s፡!?።፧؟۔\"'«»“”‘’()\[\]{}<>]+")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_QUOTE = re.compile(r'["«“]')
+_BEGUN = re.compile(r"[^\"'«“‘([{‹„¿¡*_#\-–—< \t]")
 _NEXT = re.compile(r"[^\s፡.,;:!?።፣፤፧؟،\"'«»“”‘’()\[\]{}<>]+")
+# Reserved names of RFC 2606 and the generic domains end a host written in capitals.
 _WEB = re.compile(r"[@＠]|://|^[Ww][Ww][Ww]\.|[a-z0-9-]+\.[a-z]{2,}(?:[/?.:]|$)|[A-Z0-9-]{2,}\.(?:EXAMPLE|TEST|INVALID|COM|ORG|NET|EDU|GOV|INFO)(?![A-Z])")
 # Common abbreviations of the corpus' languages that a sentence goes on after.
 ABBREVIATIONS = frozenset(
-    "p.o av rua apt km etj kg sh no b lam lakk ikh nomb uk na v i.e e.g vol aprox pág pag p ex env f ص ዓ.ም ኪ.ግ كغ op obb ኢ.ት ዶ.ር ا د أ art al cf fig ca approx vs tel n° nr núm".split()
+    "p.o b.p s.l.p c.p av rua apt km etj kg sh no b lam lakk ikh nomb uk na v i.e e.g vol aprox pág pag p ex env f ص ዓ.ም ኪ.ግ كغ op obb ኢ.ት ዶ.ር ا د أ art al cf fig ca approx vs tel n° nr núm".split()
 )
 
 # Abbreviated titles, which count as such in capitals only.
@@ -59,10 +66,10 @@ def next_start(text: str, at: int, end: int) -> tuple[str, str]:
     gap = "none" if k == at else "one" if k == at + 1 else "more"
     while k < end and text[k] in _OPEN and not (text[k] == "-" and gap == "none"):
         if text[k] == "<":
-            close = text.find(">", k, k + 12)
-            if close < 0:
+            tag = _TAG.match(text, k, end)
+            if not tag:
                 break
-            k = close
+            k = tag.end() - 1
         k += 1
         while k < end and text[k] == " ":
             k += 1
@@ -83,30 +90,84 @@ def kind(ch: str) -> str:
     return "comma" if ch in ",;:،؛፣፤፥/=" else "other"
 
 
+class Line:
+    """One line while its marks are gone through from left to right; every look around a mark goes on from the last one, so a line of any length takes linear time."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.text, self.lo, self.hi = text, lo, hi
+        self.runs = _RUN.finditer(text, lo, hi)
+        self.run, self.web = (lo, lo), False  # the current run of a token's characters; whether it is known to be a link or address
+        self.word, self.over = None, hi  # the latest next word, and where none comes any more
+        self.since, self.begun, self.quote = lo, lo, -1
+        self.start_sentence(lo)
+
+    def start_sentence(self, at: int) -> None:
+        """Where the sentence that began at ``at`` has its first character other than openers, and its first quote after one."""
+        self.since = at
+        m = _BEGUN.search(self.text, at, self.hi)
+        self.begun = m.start() if m else self.hi
+        k = at
+        while k < self.hi and self.text[k].isspace():
+            k += 1
+        if self.quote < min(k + 1, self.hi):
+            q = _QUOTE.search(self.text, k + 1, self.hi)
+            self.quote = q.start() if q else self.hi
+
+    def token_before(self, at: int) -> str:
+        """The token that ends at ``at``: at most its last ``LABELS`` dotted labels."""
+        while self.run[1] < at:
+            m = next(self.runs, None)
+            if m is None:
+                return ""
+            self.run, self.web = m.span(), False
+        if self.run[0] >= at:
+            return ""
+        s = at
+        for _ in range(LABELS):
+            s = self.text.rfind(".", self.run[0], s)
+            if s < 0:
+                return self.text[self.run[0] : at]
+        return self.text[s + 1 : at]
+
+    def next_word(self, at: int) -> str:
+        if self.word is None or self.word.start() < at:
+            self.word = _NEXT.search(self.text, at, self.hi) if at < self.over else None
+            if self.word is None:
+                self.over = min(self.over, at)
+        return self.word.group().casefold() if self.word else ""
+
+    def is_web(self, token: str, m: re.Match, rest: str) -> bool:
+        """Whether a mark without a gap stands in a link, host or address; what an earlier mark of the same run showed stays known."""
+        if self.web:
+            return True
+        near = token + m.group()
+        found = _WEB.search(near + rest)
+        if found and (found.group()[-1] in "@＠/?.:" or found.group().endswith("://")) and found.end() <= len(near):
+            self.web = True
+        return bool(found)
+
+
 class Candidate:
     __slots__ = ("after", "close", "ch", "gap", "in_token", "last", "mark", "next", "start", "token", "token_mark", "web", "next_word", "first", "opened")
 
-    def __init__(self, text: str, lo: int, hi: int, m: re.Match, since: int):
-        mark = m.group()
+    def __init__(self, line: Line, m: re.Match):
+        text, hi, mark = line.text, line.hi, m.group()
         self.start, self.after = m.start(), m.end()
         c = _CLOSE.match(text, m.end(), hi)
         self.close = c.group() if c else ""
         self.last = c.end() if c else m.end()
         self.mark = "ell" if mark.startswith(("...", "…")) else "eth" if mark[0] in "።፧፨፡" else "arab" if mark[0] in "؟۔" else "dot" if mark == "." else "strong"
-        w = _WORD.search(text, max(lo, m.start() - 40), m.start())
-        self.token = w.group() if w else ""
+        self.token = line.token_before(m.start())
         self.token_mark = self.token + ("..." if self.mark == "ell" else mark[0])
         self.gap, self.ch = next_start(text, self.last, hi)
         self.next = kind(self.ch)
-        nw = _NEXT.search(text, self.last, min(hi, self.last + 60))
-        self.next_word = nw.group().casefold() if nw else ""
-        whole = text[m.start() - len(self.token) : m.end()]
+        self.next_word = line.next_word(self.last)
+        self.web = False
         if self.gap == "none" and not self.close:
             rest = _NEXT.match(text, self.last, hi)
-            whole += rest.group() if rest else ""
-        self.web = bool(_WEB.search(whole)) and self.gap == "none" and not self.close
-        self.first = not text[since : max(since, m.start() - len(self.token))].strip(_OPEN + " \t")
-        self.opened = bool(self.close) and any(q in text[since : m.start()].lstrip()[1:] for q in '"«“')
+            self.web = line.is_web(self.token, m, rest.group() if rest else "")
+        self.first = line.begun >= m.start() - len(self.token)
+        self.opened = bool(self.close) and line.quote < m.start()
 
     def features(self, ends: dict, starts: dict) -> list[str]:
         t = self.token
@@ -139,12 +200,12 @@ def lines_of(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, lo: int, hi: int) -> Iterator[Candidate]:
-    since = lo
+    line = Line(text, lo, hi)
     for m in _MARK.finditer(text, lo, hi):
-        c = Candidate(text, lo, hi, m, since)
+        c = Candidate(line, m)
         yield c
         if c.gap != "none":
-            since = c.last
+            line.start_sentence(c.last)
 
 
 class BoundaryModel:
@@ -174,28 +235,28 @@ class BoundaryModel:
         return [(a + len(text[a:b]) - len(text[a:b].lstrip()), b) for a, b in out]
 
 
-def _label(c: Candidate, ends: dict, starts: dict) -> int | None:
-    """1 and 0 where the status is plain, else None."""
+def _no_end(c: Candidate, ends: dict, starts: dict) -> bool:
+    """Marks that are plainly no boundary: inside links and numbers, before what goes on, after words that stand at no line's end or before words at no line's start."""
     n, e = ends.get(c.token_mark, (0, 0))
     sn, ss = starts.get(c.next_word, (0, 0))
-    if c.next == "end":
-        return None
     if c.web or c.next in ("lower", "comma") or (c.mark == "dot" and c.gap == "none" and c.next == "digit" and not c.close):
-        return 0
+        return True
     if n >= 20 and e < 0.02 * n and c.mark in ("dot", "ell"):
-        return 0
+        return True
     if c.mark == "dot" and is_abbreviation(c.token) and c.next in ("upper", "digit", "letter") and c.gap != "none" and e < 0.02 * max(n, 1):
-        return 0
+        return True
     if c.mark == "dot" and len(c.token) == 1 and c.token.isupper() and c.next == "upper":
-        return 0
-    if sn >= 20 and ss < 0.005 * sn and c.next == "letter" and (c.close or c.mark in ("ell", "dot")):
-        return 0
-    if n >= 5 and e >= 0.1 * n and c.next in ("upper", "letter", "digit"):
-        if c.close and sn >= 20 and ss < 0.005 * sn:
-            return 0
-        return 1
-    if c.mark == "eth" and not c.close and c.next in ("letter", "digit", "upper"):
-        return 1
+        return True
+    return sn >= 20 and ss < 0.005 * sn and c.next == "letter" and (bool(c.close) or c.mark in ("ell", "dot"))
+
+
+def joined_end(a: str, b: str) -> Candidate | None:
+    """The end of line ``a``, as it looks with line ``b`` behind a space instead of the break; None if ``a`` ends without a mark."""
+    a = a.strip()
+    both = f"{a} {b.strip()}"
+    for c in candidates(both, 0, len(both)):
+        if c.last >= len(a):
+            return c if c.last == len(a) else None
     return None
 
 
@@ -204,10 +265,12 @@ PRIOR = {"bias": 1.0, "next=lower": -4.0, "next=comma": -5.0, "next=digit": -0.5
 
 
 def train(texts: list[str], rounds: int = 25, decay: float = 1e-3) -> BoundaryModel:
+    """Boundaries to learn from are the ends of real lines, each seen with the next line of the sample behind it; what is no boundary, see ``_no_end``."""
     ends, all_ends, starts, mids = Counter(), Counter(), Counter(), Counter()
     held: list[Candidate] = []
+    real: list[Candidate] = []
+    before = ""
     for t in texts:
-        t = t[:SAMPLE_CHARS]
         for lo, hi in lines_of(t):
             words = [w.casefold() for w in _NEXT.findall(t, lo, hi)]
             mids.update(words)
@@ -220,15 +283,16 @@ def train(texts: list[str], rounds: int = 25, decay: float = 1e-3) -> BoundaryMo
                     ends[c.token_mark] += not c.close
                 else:
                     held.append(c)
+            line = t[lo:hi]
+            if before and (c := joined_end(before, line)) is not None:
+                real.append(c)
+            before = line
     end_stat = {w: (n, ends[w]) for w, n in all_ends.items() if n >= 5}
     start_stat = {w: (n, starts[w]) for w, n in mids.items() if n >= 20}
     names = dict(PRIOR)
-    rows, labels = [], []
-    for c in held:
-        y = _label(c, end_stat, start_stat)
-        if y is not None:
-            rows.append(c.features(end_stat, start_stat))
-            labels.append(y)
+    inside = [c for c in held if _no_end(c, end_stat, start_stat)]
+    rows = [c.features(end_stat, start_stat) for c in (*real, *inside)]
+    labels = [1] * len(real) + [0] * len(inside)
     index: dict[str, int] = {}
     for f in rows:
         for x in f:
@@ -256,8 +320,8 @@ def train(texts: list[str], rounds: int = 25, decay: float = 1e-3) -> BoundaryMo
 
 
 def sample_texts(df: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """The bounded training sample: the rows with the smallest hash of their id."""
-    picked = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
+    """The bounded training sample: of the rows of at most ``SAMPLE_CHARS`` characters those with the smallest hash of their id, whole."""
+    picked = df.where(F.length(text_col) <= SAMPLE_CHARS).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), valid(text_col).alias("t"))
     return [r["t"] for r in picked.orderBy("h", "t").limit(rows).collect()]
 
 

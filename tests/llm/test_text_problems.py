@@ -167,6 +167,11 @@ PLAIN = sb.BoundaryModel(dict(sb.PRIOR), {}, {})
         ("", []),
         (" \n ", []),
         ("<h1>Gone.</h1> Home", ["<h1>Gone.</h1>", "Home"]),
+        (f"See https://example.org/{'x' * 60}/Part.Html now. Yes", [f"See https://example.org/{'x' * 60}/Part.Html now.", "Yes"]),
+        (f"See https://example.org/{'x.y/' * 60}Part.Html now. Yes", [f"See https://example.org/{'x.y/' * 60}Part.Html now.", "Yes"]),
+        (f"Mail {'n' * 90}.Last@mail.example now. Yes", [f"Mail {'n' * 90}.Last@mail.example now.", "Yes"]),
+        (f"One.{' ' * 90}Two", ["One.", "Two"]),
+        (f'One. <a href="{"u" * 40}">two</a> goes on.', [f'One. <a href="{"u" * 40}">two</a> goes on.']),
     ],
 )
 def test_split(text, sentences):
@@ -180,6 +185,21 @@ def test_split_covers_all_text_in_order():
     assert "".join(text[a:b] for a, b in spans).replace(" ", "") == text.replace(" ", "").replace("\n", "")
 
 
+@pytest.mark.parametrize("text", ["a.b." * 30_000, "! " * 60_000, "x" * 120_000 + ". Y", 'a.") ' * 30_000, "One two. " * 15_000, "( " * 60_000 + "a."])
+def test_long_lines_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    PLAIN.split(text)
+    assert time.process_time() - began < 10
+
+
+def test_boundaries_are_learned_from_line_ends():
+    c = sb.joined_end("He came. They left. ", " Then all")
+    assert c.token == "left" and c.next == "upper" and c.gap == "one" and c.next_word == "then"
+    assert sb.joined_end("no mark", "Then") is None and sb.joined_end('"All."', "Then").close == '"'
+
+
 def test_training_learns_an_abbreviation(spark):
     lines = [f"The cost is zq. {i} for all. We go home." for i in range(60)] + ["We go home for all."] * 30
     model = sb.train(lines)
