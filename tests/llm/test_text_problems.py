@@ -136,6 +136,51 @@ def test_kinds(text, kinds):
     assert sorted({k for _, _, k in FINDER.spans(text)}) == kinds
 
 
+OWN = pd_.Finder({"Amina", "Li"}, {"Diallo", "Ba"})
+FAR = "word " * 60
+
+
+@pytest.mark.parametrize(
+    ("text", "redacted"),
+    [
+        (f"Passport number, {FAR}in the office: A1234567 ok", f"Passport number, {FAR}in the office: [NATIONAL_ID] ok"),
+        (f"Passport lost, {FAR}phone: 712 345 678 now", f"Passport lost, {FAR}phone: [PHONE] now"),
+        ("Passport lost in 1990-1995 only", "Passport lost in 1990-1995 only"),
+        (f"Go to 15 {'X' + 'y' * 90} Road, now", "Go to [ADDRESS], now"),
+        ("It is at 15 Independence Square now", "It is at [ADDRESS] now"),
+        (f"Write {'n' * 90}.x@mail.example!", "Write [EMAIL]!"),
+        ("write jöhn.doe@mail.example now", "write [EMAIL] now"),
+        ("ወደamina@mail.example ጻፍ", "ወደ[EMAIL] ጻፍ"),
+        ("Call 202-555-0182. ok", "Call [PHONE]. ok"),
+        ("at 202-555-0182 ok", "at [PHONE] ok"),
+        ("Phone: 712 345 678", "Phone: [PHONE]"),
+        ("SSN 123-45-6789", "SSN [NATIONAL_ID]"),
+        ("isbn 978-316-1484 and lot 202-555-0182", "isbn 978-316-1484 and lot 202-555-0182"),
+        ("she was born as Zawadi Okoro in May", "she was born as [NAME] in May"),
+        ("we saw Li Ba there", "we saw [NAME] there"),
+        (f"we saw {'Q' + 'r' * 80} B. Diallo there", "we saw [NAME] there"),
+        ("a li ba at noon, the Ba bridge", "a li ba at noon, the Ba bridge"),
+    ],
+)
+def test_parsers_are_bounded_by_words_not_characters(text, redacted):
+    assert pd_.redacted(text, OWN.spans(text)) == redacted
+
+
+def test_many_finds_take_linear_time():
+    import time
+
+    began = time.process_time()
+    text = "x@mail.example 712-555-0182 passport lost " * 10_000
+    assert len(OWN.spans(text)) == 20_000 and time.process_time() - began < 20
+
+
+def test_long_name_lists_give_the_same(spark, sf_dir):
+    rows, names = spark.read.parquet(f"{sf_dir}/clean_raw_dataset_text.parquet"), spark.read.parquet(f"{sf_dir}/person_names.parquet")
+    held = sorted(map(tuple, pd_.personal_data(rows, "line_id", "text", names).selectExpr("id", "redacted").collect()), key=str)
+    joined = sorted(map(tuple, pd_.personal_data(rows, "line_id", "text", names, most_names=3).selectExpr("id", "redacted").collect()), key=str)
+    assert held == joined and any("[NAME]" in (t or "") for _, t in held)
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, "Ask Mr Kiwish Wavul, bob.x@mail.example!"), (2, None), (3, ""), (4, "x" * 200_000 + " bob.x@mail.example"), (5, "plain")]
     names = spark.createDataFrame([("Kiwish", "given"), ("Wavul", "family"), (None, None)], "name string, kind string")
