@@ -292,12 +292,47 @@ def test_residue_depends_on_shares_not_on_rows(spark):
     one, many = cover(1), cover(40)
     assert one[:2] == many[:2] and many[2] == 40 * one[2]
 
-    items, df = rs.exemplars(), {f: 20 for f in rs.line_features(few[0])}
-    index = rs.ResidueIndex(items, df, 4000)
-    c = [index.verdict(few[0], {f: n for f in rs.line_features(few[0]) - set(index.posting)})[0] for n in (20, 4000)]
+    index = rs.ResidueIndex(rs.exemplars(), {f: 20 for f in rs.features_of(few[0])}, 4000)
+    h, _, sent = rs.words_of(rs.prepared(pa.array(few[:1])))
+    c = [index.verdict(h, sent, {f: n for f in rs.features_of(few[0]) if f not in index.weight})[0] for n in (20, 4000)]
     assert c == [0.0, 1.0]
 
 
+# Written apart from the tables and after the exemplars.
+RESIDUE_CASES = [
+    "This site is currently undergoing maintenance. Please come back later.", "Die angeforderte Seite wurde nicht gefunden.", "Sorry, an unexpected problem occurred. Please try again later.", "Please allow scripts to run in your browser.",
+    "Error 500: the server is temporarily unable to service your request.", "You must enable JavaScript to view this content.", "Your session has expired. Please log in.", "Hello {{ user.first_name }}, welcome!", "Dear %(name)s, your order is ready",
+    "Welcome back, ${customer}!", "[Insert headline here] The goat ran.", "Contact: [enter your name here]", "Checking your browser before opening shop.example. This takes about 9 seconds.", "Lorem ipsum dolor sit amet, sed do magna",
+    "Page not found. Error 404", "This is placeholder text. Replace this text later.", "Une erreur est survenue. Veuillez réessayer.", "Internal Server Error", "Access denied. You are not authorized to view this page.", "{% include header %} The market was full.",
+    "Hello {{ " + "x" * 200 + " }}!", "Hi ${" + "long_name." * 20 + "end}", "[Insert " + " " * 90 + "text here] ok",
+]
+TEXT_CASES = [
+    "The variable {name} is written in braces.", "In the formula $x$ stands for the length of the field.", "The method __init__ is called when an object is made.", "[CHAPTER ONE] The river was wide and the goat slept.",
+    "She saw error 404 on the screen and laughed at the harvest.", "Our teacher showed us how to enable JavaScript before the lesson about rivers.", "The shop was closed for maintenance, so we went to the market by the river.", 'He wrote "{name}" on the board.',
+    "The server at the restaurant brought the wrong plate to our table.", "They could not find the page in the old book and searched until evening.", "Access to the well was denied to the strangers by the elder.",
+    "The session of the council expired before the vote on the new bridge.", "[Editor's note: the letter was never sent.]", "Please come back later, said the nurse, the doctor is busy with a patient.", "We had to wait ten seconds before the browser opened the picture of the lake.",
+    "[U+00E9 LATIN SMALL LETTER E WITH ACUTE] is a letter.", "<b>The</b> market <i>of the town</i> was full.", "See https://a.example/404 for the story of the bridge.",
+]
+
+
+def test_residue_of_held_out_cases(spark, sf_dir):
+    """Recall and precision with the frequencies of a real table beside the cases."""
+    table = spark.read.parquet(f"{sf_dir}/clean_raw_dataset_text.parquet").select(F.col("line_id").alias("k"), "text")
+    cases = RESIDUE_CASES + TEXT_CASES
+    rows = table.unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(cases)], "k bigint, text string"))
+    found = {r["id"] - 10**9 for r in rs.residue(rows, "k", "text").where("is_residue AND id >= 1000000000").collect()}
+    right = len(found & set(range(len(RESIDUE_CASES))))
+    assert right / len(RESIDUE_CASES) >= 0.9 and right / len(found) >= 0.9
+
+
+def test_words_of_masked_text():
+    h, row, sent = rs.words_of(pa.array(["Don’t stop. 12 3x", None, "", "DON'T\nstop"]))
+    assert row.tolist() == [0, 0, 0, 0, 3, 3] and h[0] == h[4] and h[1] == h[5] and h[2] == rs.NUMBER != h[3]
+    assert sent[0] == sent[1] != sent[2] and sent[4] != sent[5]
+    a, b = rs.windows_of(np.array([1] * 30 + [2] * 5 + [3] * 12))
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 12), (6, 18), (12, 24), (18, 30), (30, 35), (35, 47)]
+
+
 # --- 6 and 10: language and spam -------------------------------------------------------------------
 
 
