@@ -11,8 +11,9 @@ their own: a line also is residue if one is contained in a placeholder exemplar
 or its neighbours are those of an exemplar that mentions one ("the variable ...").
 
 Words are hashed in numpy, a batch at a time; only lines with delimiters, hosts or request ids are masked by a call of their own.
-Lines in which no window could reach ``WINDOW_LEAST``, whatever exemplars held its features and if all others stood in
-every line, are dropped first; the frequencies of the rest's features are joined to them.
+Lines in which no window could reach ``WINDOW_LEAST``, whatever exemplars held its features, are dropped first: the ``COMMON``
+most frequent features weigh what they weigh there and all others at least as much as the rarest of these. The
+exact frequencies of all features of the rest are joined to them.
 
 Defined cases: null, blank and wordless texts aren't residue; ordinary sentences around a notice keep
 the coverage low; repeated lines are all reported; lines, words and slots may have any length.
@@ -42,6 +43,8 @@ WINDOW_LEAST = 0.62
 COVER = 0.8
 #: Features a task holds while it counts; then it passes on what it has.
 HELD = 2_000_000
+#: Most features whose frequencies all workers hold: those in at least this part of all features' lines.
+COMMON = 100_000
 
 # Labelled residue, one exemplar a line; # stands for a number.
 ERRORS = """
@@ -321,7 +324,9 @@ _PH = re.compile(
     r"(?P<i>\[\[)(?P<in>[\w. ]+)\]\]|(?<![\w$])(?P<j>\$)(?P<jn>[A-Za-z_][\w.]*)\$|(?<!\w)(?P<k>__)(?P<kn>[A-Za-z][A-Za-z0-9_.]*?)__(?!\w)|(?<![{\w\"])(?P<l>\{)(?P<ln>\d+|[A-Za-z_][\w.]*)\}(?!\})"
 )
 _BLANK = re.compile(r"\[([^\W\d_][^\[\]\n]{2,})\]")
-_HOST = re.compile(r"(?:https?://)?(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/[^\s<>]*)?", re.I)
+_HOST = re.compile(r"(?:https?://)?(?<![a-z0-9-])(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/[^\s<>]*)?", re.I)
+_MAY_SLOT = re.compile(r"[{%$@]|<[<%]|\[\[|__")
+_MAY_HOST = re.compile(r"\.[A-Za-z]")
 _MARKUP = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", re.I)
 #: The name of a site before the message: ``[name]``, a host, or one or two lower-case words with a colon at a line's start.
@@ -355,15 +360,19 @@ def masked(text: str) -> str:
         x = m.group(1)
         return m.group() if x.startswith(("U+", "u+")) or x.strip() in ("at", "dot") else f" {OPEN} {x} {CLOSE_} "
 
-    t = _MARKUP.sub(" ", _PH.sub(slot, text))
-    t = _HOST.sub(f" {HOST} ", t)
+    t = _PH.sub(slot, text) if _MAY_SLOT.search(text) else text
+    t = _MARKUP.sub(" ", t) if "<" in t else t
+    t = _HOST.sub(f" {HOST} ", t) if _MAY_HOST.search(t) else t
     t = _SITE.sub(lambda m: "" if (m.group(1) or "").replace("_", " ") not in _BLANK_SET else m.group(), t)
-    return _HEX.sub(" 0 ", _BLANK.sub(blank, t))
+    return _HEX.sub(" 0 ", _BLANK.sub(blank, t) if "[" in t else t)
+
+
+_SPACE, _BREAK, _END = 8, 16, 32
 
 
 @lru_cache(maxsize=1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Kind of each code point (0 gap, 1 letter, 2 digit, 3 dropped inside words, 4 a masked thing) and its lower-case form."""
+    """Kind of each code point (0 gap, 1 letter, 2 digit, 3 dropped inside words, 4 a masked thing; flags of space, line break and end mark) and its lower-case form."""
     top = 0x30000
     kind, low = np.zeros(top, np.uint8), np.arange(top, dtype=np.int64)
     for o in range(top):
@@ -380,11 +389,15 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
             kind[o] = 2
         elif ch in "'’‘ʼ" or cat == "Cf":
             kind[o] = 3
+        elif ch.isspace():
+            kind[o] = _SPACE | (_BREAK if ch in "\n\r" else 0)
+        elif ch in ".!?።؟":
+            kind[o] = _END
     kind[0xE000:0xE030] = 4
     return kind, low
 
 
-_END = np.array([ord(c) for c in ".!?።؟"], np.int64)
+_GROUP = np.array([0, 1, 1, 0, 4, 0, 0, 0], np.uint8)
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -397,21 +410,22 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind, low = _classes()
     cps, bounds = unpack(col)
     row = rows_of(bounds)
-    k = np.where(cps < len(kind), kind[np.minimum(cps, len(kind) - 1)], 0)
-    space = (cps <= 32) | (cps == 0x85) | (cps == 0xA0) | ((cps >= 0x2000) & (cps <= 0x200A)) | (cps == 0x2028) | (cps == 0x2029) | (cps == 0x3000)
-    after_space = np.append(space[1:] | (row[1:] != row[:-1]), True) if len(cps) else space
-    stop = (cps == 10) | (cps == 13) | (np.isin(cps, _END) & after_space)
-    sentence = np.cumsum(stop)
+    if len(cps) and int(cps.max()) >= len(kind):
+        cps = np.where(cps < len(kind), cps, 0xFFFD)
+    k = kind[cps]
+    after = np.append(k[1:] & _SPACE, _SPACE)
+    after[bounds[1:-1][bounds[1:-1] > 0] - 1] = _SPACE  # the end of a row
+    sentence = np.cumsum((k & _BREAK) | ((k & _END) & (after << 2)) > 0)
+    k &= 7
     keep = k != 3
     cps, row, k, sentence = cps[keep], row[keep], k[keep], sentence[keep]
     if not (k > 0).any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.where(k == 2, 1, k)  # letters and digits make words together; a masked thing is a word by itself
+    group = _GROUP[k]  # letters and digits make words together; a masked thing is a word by itself
     new = (group > 0) & np.concatenate([[True], (group[1:] != group[:-1]) | (row[1:] != row[:-1]) | (group[1:] == 4)])
     first, at = np.flatnonzero(new), np.flatnonzero(group > 0)
     no = np.cumsum(new)[at] - 1
-    cps = np.where(cps < len(low), low[np.minimum(cps, len(low) - 1)], cps)
-    x = _hash((cps[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (at - first[no]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = _hash((low[cps[at]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (at - first[no]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     starts = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]]))
     h = _hash(np.add.reduceat(x, starts))
     h[np.add.reduceat((k[at] != 2).astype(np.int64), starts) == 0] = NUMBER
@@ -449,7 +463,7 @@ def features_of(text: str) -> list[int]:
 class ResidueIndex:
     """Inverted index of the exemplars with the table's document frequencies."""
 
-    def __init__(self, items: list[tuple[str, str]], df: dict[int, int], n: int):
+    def __init__(self, items: list[tuple[str, str]], df: dict[int, int], n: int, common: tuple[np.ndarray, np.ndarray] | None = None, edge: int | None = None):
         self.kinds = [k for k, _ in items]
         self.posting: dict[int, list[int]] = defaultdict(list)
         self.mention: set[int] = set()
@@ -466,6 +480,10 @@ class ResidueIndex:
         self.weight[int(NUMBER)] = min(self.weight.get(int(NUMBER), 1.0), 1.0)
         self.keys = np.array(sorted(self.posting), np.uint64)
         self.values = np.array([self.weight[k] for k in self.keys.tolist()])
+        # frequent features with their frequencies; all others stand in fewer than ``edge`` lines
+        keys, often = common or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.common, self.common_weight = keys, np.log((self.n + 1) / (often + 1)) + 1
+        self.rare = self.idf(self.n if edge is None else edge)
         word = lambda c: int(words_of(pa.array([c]))[0][0])
         self.opens, self.close, self.quoted, self.slot = {word(c) for c in (*_SHAPE.values(), OPEN)}, word(CLOSE_), word(QUOTED), word(SLOT)
         self.other: dict[int, float] = {}  # weights of the line's features that no exemplar has
@@ -478,8 +496,15 @@ class ResidueIndex:
         at = np.minimum(np.searchsorted(self.keys, f), len(self.keys) - 1)
         return np.where(self.keys[at] == f, self.values[at], 0.0)
 
+    def at_least(self, f: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What each feature weighs at least: exact for those of exemplars (``own``) and frequent ones."""
+        if not len(self.common):
+            return np.where(own > 0, own, self.rare)
+        at = np.minimum(np.searchsorted(self.common, f), len(self.common) - 1)
+        return np.where(own > 0, own, np.where(self.common[at] == f, self.common_weight[at], self.rare))
+
     def possible(self, h: np.ndarray, row: np.ndarray, sentence: np.ndarray, rows: int) -> np.ndarray:
-        """Rows in which a window could score ``WINDOW_LEAST`` (features that no exemplar has weigh 1 or more), and rows with a slot."""
+        """Rows in which a window could score ``WINDOW_LEAST``, and rows with a slot."""
         out = np.zeros(rows, bool)
         if not len(h):
             return out
@@ -489,8 +514,8 @@ class ResidueIndex:
         pair_all = np.zeros(len(h))
         p, at = pairs_of(h, sentence)
         pair[at] = self.known(p)
-        pair_all[at] = np.where(pair[at] > 0, pair[at], 1.0)
-        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (own, np.where(own > 0, own, 1.0), pair, pair_all)]
+        pair_all[at] = self.at_least(p, pair[at])
+        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (own, self.at_least(h, own), pair, pair_all)]
         a, b = windows_of(sentence)
         got, whole = sums[0][b] - sums[0][a], sums[1][b] - sums[1][a]
         pgot, pwhole = sums[2][b - 1] - sums[2][a], sums[3][b - 1] - sums[3][a]  # the last word's pair lies outside
@@ -589,12 +614,9 @@ def residue(df: DataFrame, id_col: str, text_col: str, more: list[tuple[str, str
                 h, row, s = words_of(prepared(batch.column(0).slice(at, rows)))
                 p, place = pairs_of(h, s)
                 both, of = np.concatenate([h, p]), np.concatenate([row, row[place]])
-                order = np.lexsort((both, of))
-                both, of = both[order], of[order]
-                one = np.ones(len(both), bool)
-                one[1:] = (both[1:] != both[:-1]) | (of[1:] != of[:-1])
+                _, one = np.unique(both ^ _hash(of.astype(np.uint64) + np.uint64(1)), return_index=True)  # once a line
                 held.append(both[one])
-                size += int(one.sum())
+                size += len(one)
                 if size >= HELD:
                     yield counted()
                     n, held, size = 0, [], 0
@@ -604,8 +626,12 @@ def residue(df: DataFrame, id_col: str, text_col: str, more: list[tuple[str, str
     counts = materialise(rows.select("text").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")), "features")
     few = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(wanted)], "f bigint")
     stats = {int(np.int64(r["f"]).view(np.uint64)): r["n"] for r in counts.join(F.broadcast(few), "f").collect()}
-    lines = counts.where("f IS NULL").agg(F.sum("n")).first()[0] or 0
-    held = spark.sparkContext.broadcast((items, stats, lines))
+    sums = counts.agg(F.sum(F.when(F.col("f").isNull(), F.col("n"))).alias("lines"), F.sum(F.when(F.col("f").isNotNull(), F.col("n"))).alias("features")).first()
+    lines, edge = sums["lines"] or 0, max(1, math.ceil((sums["features"] or 0) / COMMON))
+    often = counts.where(F.col("f").isNotNull() & (F.col("n") >= edge)).toPandas()  # at most COMMON of them
+    often = (often["f"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64))
+    order = np.argsort(often[0])
+    held = spark.sparkContext.broadcast((items, stats, lines, (often[0][order], often[1][order]), edge))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ResidueIndex(*held.value)
