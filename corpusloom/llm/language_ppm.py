@@ -13,9 +13,13 @@ its language under equal priors with the code length tempered by ``TEMPER``. Tex
 links and tags are masked, and each sample also counts without its accents, so that capitals and
 dropped accents keep their language.
 
-Defined cases: null texts and texts without letters have no segments; a sentence shorter than
-``LEAST`` letters never makes a language of its own; documents of any length are cut into sentences first;
-repeated rows are scored each; a language without samples cannot be found.
+Bounds: the trees are fitted on whole samples, in the order of their hashes, of at most ``SAMPLES_PER_LANGUAGE`` rows
+and ``SAMPLE_CHARS`` characters a language together; if the table of costs still came out above ``MODEL_BYTES``, which
+is what is broadcast, both bounds are halved until it fits.
+
+Defined cases: null texts and texts without letters have no segments; a whole sentence has two words or more, in any
+script; documents of any length are cut into sentences first; repeated rows are scored each; a language
+without samples, or with none within the bounds, cannot be found.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +38,18 @@ from corpusloom.llm.sentence_bounds import PRIOR, BoundaryModel
 from corpusloom.runtime import spread, valid
 
 ORDER = 6
-LEAST = 10
+#: Words of a whole sentence.
+LEAST = 2
 TEMPER = 0.35
 #: Bits, and share of its own code length, that a sentence must save to leave the main language of its document.
 LEAST_SAVED, LEAST_SHARE = 20.0, 0.3
 #: Most rows per language of the labelled samples that the trees are fitted on.
 SAMPLES_PER_LANGUAGE = 2000
+#: Most characters per language of these samples, and most bytes of the fitted table.
+SAMPLE_CHARS = 60_000
+MODEL_BYTES = 256 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_NOISE = re.compile(r"https?://\S+|www\.\S+|[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*|[#@]\w+|</?\w+>|[\d٠-٩]+", re.I)
+_NOISE = re.compile(r"https?://\S+|www\.\S+|(?<![a-z0-9-])[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*|[#@]\w+|</?\w+>|[\d٠-٩]+", re.I)
 
 
 def plain(text: str) -> str:
@@ -49,13 +58,69 @@ def plain(text: str) -> str:
     return " " + " ".join(re.findall(r"[^\W_]+(?:['’̀-ͯ][^\W_]*)*", t)) + " "
 
 
-#: All combining marks, to be deleted.
-_MARKS = dict.fromkeys(o for o in range(0x300, 0x1F000) if unicodedata.combining(chr(o)))
+_WORDS_OR_BREAK = re.compile(r"\n|[^\W_]+(?:['’̀-ͯ][^\W_]*)*")
+
+
+def plain_all(texts: list[str]) -> list[str]:
+    """``plain`` of many texts without line breaks, in one go."""
+    if not texts:
+        return []
+    whole = unicodedata.normalize("NFC", _NOISE.sub(" ", "\n".join(texts))).lower()
+    parts = " ".join(["", *_WORDS_OR_BREAK.findall(whole), ""]).split("\n")
+    return [p if p != " " else "  " for p in parts]
+
+
+@lru_cache(maxsize=1)
+def _is_mark() -> np.ndarray:
+    """Whether each code point is a combining mark."""
+    out = np.zeros(0x110000, bool)
+    out[[o for o in range(0x300, 0x1F000) if unicodedata.combining(chr(o))]] = True
+    return out
 
 
 def bare(text: str) -> str:
     """Without accents and other combining marks."""
-    return text if text.isascii() else unicodedata.normalize("NFD", text).translate(_MARKS)
+    if text.isascii():
+        return text
+    cps = np.frombuffer(unicodedata.normalize("NFD", text).encode("utf-32-le"), np.uint32)
+    return cps[~_is_mark()[cps]].tobytes().decode("utf-32-le")
+
+
+class Places:
+    """Places of 64-bit keys in a table of open addressing, a quarter full; look-ups of whole arrays take about one probe."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), 1 << bits
+        self.table = np.full(self.size, -1, np.int32)
+        left, step = np.arange(len(keys), dtype=np.int32), 0
+        home = self._home(keys)
+        while len(left):
+            at = (home[left] + step) & (self.size - 1)
+            free = np.flatnonzero(self.table[at] < 0)
+            self.table[at[free]] = left[free]
+            left = left[self.table[at] != left]
+            step += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MIX) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._home(keys)
+        out = self.table[at]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[wrong]
+        while len(wrong):
+            at = (at + 1) & (self.size - 1)
+            got = self.table[at]
+            out[wrong] = got
+            more = (got >= 0) & (self.keys[got] != keys[wrong])
+            wrong, at = wrong[more], at[more]
+        return out
 
 
 class PPM:
@@ -91,6 +156,11 @@ class PPM:
             below, costs = gk, cost
             self.__dict__.setdefault("_costs", []).append(cost)
         self.grams, self.contexts, self.escapes, self.costs = keys, contexts, escapes, self.__dict__.pop("_costs", [])
+        self.find_gram, self.find_context = [Places(k) for k in self.grams], [Places(k) for k in self.contexts]
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for group in (self.grams, self.contexts, self.escapes, self.costs) for x in group)
 
     def _hashes(self, data: np.ndarray) -> list[np.ndarray]:
         """For each order, the hash of the bytes before each position (row ``k``: the k bytes before)."""
@@ -122,38 +192,55 @@ class PPM:
         return out
 
     def bits(self, data: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """Code length in bits of each row under each language; contexts don't cross rows."""
+        """Code length in bits of each row under each language; contexts don't cross rows.
+
+        A word with its space costs the same wherever the bytes before it are the same, so each is scored once a call.
+        """
         n = len(self.langs)
         out = np.zeros((rows, n))
         if not len(data) or not n:
             return out
         start = np.searchsorted(row, np.arange(rows))
+        depth = np.arange(len(data)) - start[row]
         hashes = self._hashes(data)
-        for at in range(0, len(data), 1 << 15):
-            s = slice(at, at + (1 << 15))
-            b, r = data[s], row[s]
-            depth = np.arange(at, at + len(b)) - start[r]
-            cost, todo = np.zeros((len(b), n), np.float32), np.arange(len(b))
-            for k in range(self.order, -1, -1):
-                here = todo[depth[todo] >= k]
-                if not len(here) or not len(self.grams[k]):
-                    continue
-                c = hashes[k][s][here]
-                g = self._with(c, b[here])
-                gi = np.minimum(np.searchsorted(self.grams[k], g), len(self.grams[k]) - 1)
-                hit = self.grams[k][gi] == g
-                cost[here[hit]] += self.costs[k][gi[hit]]
-                miss, c = here[~hit], c[~hit]
-                ci = np.minimum(np.searchsorted(self.contexts[k], c), len(self.contexts[k]) - 1)
-                known = self.contexts[k][ci] == c
-                cost[miss[known]] += self.escapes[k][ci[known]]
-                done = np.zeros(len(b), bool)
-                done[here[hit]] = True
-                todo = todo[~done[todo]]
-            cost[todo] += np.float32(8.0)
-            self._add(out, r, cost)
+        first = np.flatnonzero((data == 32) | (depth == 0))
+        size = np.diff(np.append(first, len(data)))
+        places = np.arange(len(data)) - np.repeat(first, size)
+        key = np.add.reduceat(self._with(places.astype(np.uint64) * _MIX, data), first)
+        key = (key ^ hashes[self.order][first]) * _MIX + np.minimum(depth[first], self.order).astype(np.uint64)
+        _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        size = size[one]
+        begin = np.cumsum(size) - size
+        at = np.repeat(first[one] - begin, size) + np.arange(int(size.sum()))
+        owner = np.repeat(np.arange(len(one)), size)
+        spans = np.zeros((len(one), n))
+        for k in range(0, len(at), 1 << 15):
+            part = at[k : k + (1 << 15)]
+            self._add(spans, owner[k : k + (1 << 15)], self._costs_at(part, data, depth, hashes))
+        self._add(out, row[first], spans[inverse])
         return out
 
+    def _costs_at(self, at: np.ndarray, data: np.ndarray, depth: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+        """Bits of the bytes at some places."""
+        b, deep = data[at], depth[at]
+        cost, todo = np.zeros((len(at), len(self.langs)), np.float32), np.arange(len(at))
+        for k in range(self.order, -1, -1):
+            fits = deep[todo] >= k
+            here = todo if fits.all() else todo[fits]
+            if not len(here) or not len(self.grams[k]):
+                continue
+            c = hashes[k][at[here]]
+            gi = self.find_gram[k].find(self._with(c, b[here]))
+            hit = gi >= 0
+            cost[here[hit]] += self.costs[k][gi[hit]]
+            miss = here[~hit]
+            ci = self.find_context[k].find(c[~hit])
+            known = ci >= 0
+            cost[miss[known]] += self.escapes[k][ci[known]]
+            todo = miss if len(here) == len(todo) else np.concatenate([miss, todo[~fits]])
+        cost[todo] += np.float32(8.0)
+        return cost
+
     @staticmethod
     def _add(out: np.ndarray, r: np.ndarray, cost: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
@@ -161,7 +248,7 @@ class PPM:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language."""
-        return self.score_plain([plain(t) for t in texts])
+        return self.score_plain(plain_all([t.replace("\n", " ") for t in texts]))
 
     def score_plain(self, texts: list[str]) -> np.ndarray:
         """The same for texts that went through ``plain``."""
@@ -184,39 +271,53 @@ def letters(plain_text: str) -> int:
     return len(plain_text) - plain_text.count(" ")
 
 
-def assign(sents: list[str], bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(plain_text: str) -> int:
+    """Words of a text that went through ``plain``."""
+    return max(0, plain_text.count(" ") - 1)
+
+
+def assign(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language index, confidence) of each sentence of one document."""
-    if not len(sents) or not bits.shape[1]:
+    if not len(bits) or not bits.shape[1]:
         return np.zeros(0, int), np.zeros(0)
-    best = bits.argmin(axis=1)
-    whole = bits.sum(axis=0)
-    main = int(whole.argmin())
-    order = np.sort(bits, axis=1)
-    margin = (order[:, 1] - order[:, 0]) if bits.shape[1] > 1 else np.full(len(bits), 99.0)
+    least = bits.min(axis=1)
+    main = int(bits.sum(axis=0).argmin())
     # a sentence keeps a language of its own only if that saves a clear number of bits against the document's
-    saved = bits[:, main] - bits.min(axis=1)
-    own = (size >= LEAST) & (saved > np.maximum(LEAST_SAVED, LEAST_SHARE * bits.min(axis=1)))
-    lang = np.where(own, best, main)
-    z = -(bits - bits.min(axis=1, keepdims=True)) * TEMPER
-    p = np.exp(z)
-    conf = p[np.arange(len(lang)), lang] / p.sum(axis=1)
-    return lang, np.where(margin < 0, 0, conf)
+    own = bits[:, main] - least > np.maximum(LEAST_SAVED, LEAST_SHARE * least)
+    lang = np.where(own, bits.argmin(axis=1), main)
+    p = np.exp(-(bits - least[:, None]) * TEMPER)
+    return lang, p[np.arange(len(lang)), lang] / p.sum(axis=1)
 
 
-def labelled(samples: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = SAMPLES_PER_LANGUAGE) -> dict[str, list[str]]:
-    """At most ``most`` labelled texts of each language (those with the smallest hashes): the bounded training sample."""
+def labelled(samples: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = SAMPLES_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """The bounded training sample: whole texts of each language by their hashes, at most ``most`` and ``chars`` characters of them.
+
+    A text is passed over if the ones before it leave no room for it.
+    """
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(lang_col).orderBy(F.xxhash64(text_col), text_col)
-    rows = samples.select(lang_col, F.substring(text_col, 1, 20_000).alias(text_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = samples.select(F.lower(F.trim(lang_col)).alias("lang"), valid(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") <= chars))
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("size", F.sum(F.length("text")).over(w)).where((F.col("n") <= most) & (F.col("size") <= chars))
     by: dict[str, list[str]] = {}
-    for lang, text in rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(lang_col, text_col).toLocalIterator():
-        by.setdefault(lang.strip().lower(), []).append(text)
+    for lang, text in rows.select("lang", "text").toLocalIterator():
+        by.setdefault(lang, []).append(text)
     return {k: sorted(v) for k, v in by.items()}
 
 
+def fitted(samples: DataFrame, **more) -> tuple[PPM, dict[str, list[str]]]:
+    """The trees and the samples they are fitted on, within all bounds."""
+    most, chars = more.pop("most", SAMPLES_PER_LANGUAGE), more.pop("chars", SAMPLE_CHARS)
+    while True:
+        by = labelled(samples, most=most, chars=chars, **more)
+        model = PPM(by)
+        if model.bytes <= MODEL_BYTES:
+            return model, by
+        most, chars = max(1, most // 2), chars // 2
+
+
 def fit(samples: DataFrame) -> PPM:
-    return PPM(labelled(samples))
+    return fitted(samples)[0]
 
 
 def segments(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,11 +338,12 @@ def segments(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                         owner += [r] * len(own)
                 if not sents or not m.langs:
                     continue
-                ready = [plain(s) for s in sents]
+                ready = plain_all(sents)
                 bits, size, owner = m.score_plain(ready), np.array([letters(s) for s in ready]), np.array(owner)
+                bounds = np.searchsorted(owner, np.arange(piece.num_rows + 1))
                 for r in np.unique(owner):
-                    i = np.flatnonzero(owner == r)
-                    l, c = assign([sents[k] for k in i], bits[i], size[i])
+                    i = slice(bounds[r], bounds[r + 1])
+                    l, c = assign(bits[i])
                     cuts = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]]))
                     for n, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(l)))):
                         row.append(int(r))

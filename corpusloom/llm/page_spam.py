@@ -15,7 +15,6 @@ feature keeps the floor as its spread; repeated documents are judged alike.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.language_ppm import LEAST, PPM, SAMPLES_PER_LANGUAGE, assign, bare, letters, plain, units
+from corpusloom.llm.language_ppm import LEAST, assign, bare, fitted, letters, plain_all, units, words
 from corpusloom.runtime import materialise, spread, valid
 
 FEATURES = ("func", "link", "tag", "digit", "repeat", "even")
@@ -43,7 +42,8 @@ FUNCTION_ROWS, FUNCTION_SHARE = 2, 0.04
 _LINK = re.compile(r"<a\s[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\([^()\s]*\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}(?:/\S*)?(?=[\s,;)|]|$)", re.I)
 _TAG = re.compile(r"(?<!\w)#\w+")
 _WORD = re.compile(r"[^\W\d_](?:[\w'’̀-ͯ]*\w)?")
-_NUMBER = re.compile(r"(?<!\w)\w*\d\w*")
+_NUMBER = re.compile(r"\d\w*")  # one match a token with digits
+_MAY_LINK = re.compile(r"<a\s|\]\(|://|www\.|\.[a-z]{2}", re.I)
 
 
 def function_words(samples: dict[str, list[str]]) -> dict[str, frozenset[str]]:
@@ -54,36 +54,74 @@ def function_words(samples: dict[str, list[str]]) -> dict[str, frozenset[str]]:
     return out
 
 
-def text_features(text: str, parts: list[tuple[str, frozenset[str]]]) -> list[float] | None:
-    """The features of a text and its number of tokens; ``parts`` are its sentences after ``plain``, with the function words of each one's language."""
-    rest, links = _LINK.subn(" ", text)
-    rest, tags = _TAG.subn(" ", rest)
-    words, hits = [], 0
-    for part, func in parts:
-        own = bare(part).split()
-        words += own
-        hits += sum(w in func for w in own)
-    total = len(words) + links + tags
-    if not total:
-        return None
-    pairs = len(words) - 1
-    repeat = 1 - len(set(zip(words, words[1:]))) / pairs if pairs > 0 else 0.0
-    n = len(words)
-    even = -sum(c * math.log(c / n) for c in Counter(words).values()) / n / math.log(n) if n > 1 else 1.0
-    return [min(1.0, hits / total), links / total, tags / total, min(1.0, len(_NUMBER.findall(rest)) / total), repeat, even, float(total)]
+def _word_hashes(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of line breaks before) of the words, between spaces and line breaks, of one text."""
+    data = np.frombuffer(joined.encode(), np.uint8)
+    inside = data > 32
+    if not inside.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    new = inside & np.concatenate([[True], ~inside[:-1]])
+    first, at = np.flatnonzero(new), np.flatnonzero(inside)
+    no = np.cumsum(new)[at] - 1
+    x = (data[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (at - first[no]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.add.reduceat(x ^ (x >> np.uint64(27)), np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]])))
+    return h ^ (h >> np.uint64(29)), np.cumsum(data == 10)[first]
+
+
+def _runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, count) of the distinct hashes of each document."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return doc[first], np.diff(np.append(first, len(h)))
+
+
+def batch_features(texts: list[str | None], ready: list[str], owner: np.ndarray, lang: np.ndarray, func: list[np.ndarray]) -> np.ndarray:
+    """Features and number of tokens of each text, NaN where there are none.
+
+    ``ready``: the sentences of all texts after ``plain``; ``owner`` and ``lang``: text and language of each; ``func``:
+    sorted hashes of the function words by language.
+    """
+    n = len(texts)
+    links, tags, digits = np.zeros(n), np.zeros(n), np.zeros(n)
+    for r, t in enumerate(texts):
+        if not t:
+            continue
+        if _MAY_LINK.search(t):
+            t, links[r] = _LINK.subn(" ", t)
+        if "#" in t:
+            t, tags[r] = _TAG.subn(" ", t)
+        digits[r] = len(_NUMBER.findall(t))
+    h, sentence = _word_hashes(bare("\n".join(ready)))
+    doc, of = owner[sentence], lang[sentence]
+    hits = np.zeros(len(h), bool)
+    for k, known in enumerate(func):
+        own = of == k
+        if len(known) and own.any():
+            hits[own] = np.isin(h[own], known)
+    count = np.bincount(doc, minlength=n).astype(float)
+    total = count + links + tags
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    pairs, _ = _runs(h[same] * np.uint64(0x9E3779B97F4A7C15) + h[same + 1], doc[same])
+    of_word, often = _runs(h, doc)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        repeat = np.where(count > 1, 1 - np.bincount(pairs, minlength=n) / (count - 1), 0.0)
+        spread_ = -np.bincount(of_word, weights=often * np.log(often / count[of_word]), minlength=n) / count / np.log(count)
+        out = np.column_stack([np.minimum(1.0, np.bincount(doc, weights=hits, minlength=n) / total), links / total, tags / total, np.minimum(1.0, digits / total), repeat, np.where(count > 1, spread_, 1.0), total])
+    out[total == 0] = np.nan
+    return out
 
 
 def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
     """(id, label, lang, found, func, link, tag, digit, repeat, even, tokens): ``found`` lists (lang, whole sentences, letters, confidence)."""
-    from corpusloom.llm.language_ppm import labelled
-
-    by = labelled(samples, most=SAMPLES_PER_LANGUAGE)
-    held = docs.sparkSession.sparkContext.broadcast((PPM(by), function_words(by)))
+    model, by = fitted(samples)
+    known = function_words(by)
+    held = docs.sparkSession.sparkContext.broadcast((model, [np.unique(_word_hashes("\n".join(sorted(known.get(x, ()))))[0]) for x in model.langs]))
     found = pa.struct([("lang", pa.string()), ("sentences", pa.int32()), ("letters", pa.int64()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, func = held.value
-        none: frozenset[str] = frozenset()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
@@ -94,24 +132,25 @@ def profiles(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_c
                         own = units(t)
                         sents += own
                         owner += [r] * len(own)
-                ready = [plain(s) for s in sents]
-                bits, size, owner = m.score_plain(ready) if sents else np.zeros((0, len(m.langs))), np.array([letters(s) for s in ready], np.int64), np.array(owner, np.int64)
-                lo, hi = np.searchsorted(owner, np.arange(len(texts))), np.searchsorted(owner, np.arange(len(texts)), side="right")
-                langs, lists, feats = [], [], []
-                for r, t in enumerate(texts):
-                    i = slice(lo[r], hi[r])
-                    l, c = assign(sents[i], bits[i], size[i]) if hi[r] > lo[r] and m.langs else (np.zeros(0, int), np.zeros(0))
-                    own = []
-                    for k in np.unique(l):
-                        of = l == k
-                        w = np.maximum(size[i][of], 1)
-                        own.append({"lang": m.langs[k], "sentences": int((size[i][of] >= LEAST).sum()), "letters": int(size[i][of].sum()), "confidence": float(np.average(c[of], weights=w))})
-                    own.sort(key=lambda x: (-x["letters"], x["lang"]))
+                ready, owner = plain_all(sents), np.array(owner, np.int64)
+                bits = m.score_plain(ready) if sents else np.zeros((0, len(m.langs)))
+                size, whole = np.array([letters(s) for s in ready], np.int64), np.array([words(s) >= LEAST for s in ready], bool)
+                bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+                lang, langs, lists = np.full(len(sents), -1), [], []
+                for r in range(len(texts)):
+                    i, own = slice(bounds[r], bounds[r + 1]), []
+                    if bounds[r + 1] > bounds[r] and m.langs:
+                        l, c = assign(bits[i])
+                        lang[i] = l
+                        for k in sorted(set(l.tolist())):
+                            of = l == k
+                            w = np.maximum(size[i][of], 1)
+                            own.append({"lang": m.langs[k], "sentences": int(whole[i][of].sum()), "letters": int(size[i][of].sum()), "confidence": float(c[of] @ w / w.sum())})
+                        own.sort(key=lambda x: (-x["letters"], x["lang"]))
                     langs.append(own[0]["lang"] if own else None)
                     lists.append(own)
-                    parts = [(x, func.get(m.langs[k], none)) for x, k in zip(ready[i], l)] if len(l) else [(x, none) for x in ready[i]]
-                    feats.append((text_features(t, parts) if t else None) or [None] * (len(FEATURES) + 1))
-                cols = [pa.array([f[k] for f in feats], pa.float64()) for k in range(len(FEATURES) + 1)]
+                x = batch_features(texts, ready, owner, lang, func)
+                cols = [pa.array(x[:, k], pa.float64(), from_pandas=True) for k in range(len(FEATURES) + 1)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(langs, pa.string()), pa.array(lists, pa.list_(found)), *cols], names=["id", "label", "lang", "found", *FEATURES, "tokens"])
 
     label = F.col(label_col) if label_col else F.lit(None)

@@ -37,7 +37,7 @@ _LINES = re.compile(f"[^{_BREAK}]+")
 _MARK = re.compile(r"(?:[.!?…‽。！？．։।॥።፧፨؟۔]|፡፡)+(?:[.!?…።፧؟۔]|፡፡)*")
 _CLOSE = re.compile(r"(?:[\"'»”’)\]}›」』]|</[A-Za-z][A-Za-z0-9]*>|(?<=[^ \t])[ \xa0\u202f](?:»|”(?!\w)))+")
 _OPEN = "\"'«“‘([{‹„¿¡*_#-–—<"
-_RUN = re.compile(r"[^\s፡!?።፧؟۔\"'«»“”‘’()\[\]{}<>]+")
+_STOP = re.compile(r"[\s፡!?።፧؟۔\"'«»“”‘’()\[\]{}<>]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _QUOTE = re.compile(r'["«“]')
 _BEGUN = re.compile(r"[^\"'«“‘([{‹„¿¡*_#\-–—< \t]")
@@ -95,8 +95,7 @@ class Line:
 
     def __init__(self, text: str, lo: int, hi: int):
         self.text, self.lo, self.hi = text, lo, hi
-        self.runs = _RUN.finditer(text, lo, hi)
-        self.run, self.web = (lo, lo), False  # the current run of a token's characters; whether it is known to be a link or address
+        self.run, self.seen, self.web = lo, lo, False  # start of the run of a token's characters at ``seen``; whether it is known to be a link or address
         self.word, self.over = None, hi  # the latest next word, and where none comes any more
         self.since, self.begun, self.quote = lo, lo, -1
         self.start_sentence(lo)
@@ -115,19 +114,21 @@ class Line:
 
     def token_before(self, at: int) -> str:
         """The token that ends at ``at``: at most its last ``LABELS`` dotted labels."""
-        while self.run[1] < at:
-            m = next(self.runs, None)
-            if m is None:
-                return ""
-            self.run, self.web = m.span(), False
-        if self.run[0] >= at:
-            return ""
+        text, run = self.text, self.run
+        p = text.rfind(" ", self.seen, at) + 1
+        if p:
+            run = p
+        for m in _STOP.finditer(text, p or self.seen, at):
+            run = m.end()
+        if run != self.run:
+            self.run, self.web = run, False
+        self.seen = at
         s = at
         for _ in range(LABELS):
-            s = self.text.rfind(".", self.run[0], s)
+            s = text.rfind(".", run, s)
             if s < 0:
-                return self.text[self.run[0] : at]
-        return self.text[s + 1 : at]
+                return text[run:at]
+        return text[s + 1 : at]
 
     def next_word(self, at: int) -> str:
         if self.word is None or self.word.start() < at:
@@ -169,28 +170,36 @@ class Candidate:
         self.first = line.begun >= m.start() - len(self.token)
         self.opened = bool(self.close) and line.quote < m.start()
 
-    def features(self, ends: dict, starts: dict) -> list[str]:
+    def case(self, ends: dict, starts: dict) -> tuple:
+        """What the features are made of; candidates have few different cases."""
         t = self.token
         low = t.casefold().strip(".(")
         n, e = ends.get(self.token_mark, (0, 0))
         sn, ss = starts.get(self.next_word, (0, 0))
         shape = "none" if not t else "initial" if len(low) == 1 and low.isalpha() and t[-1].isupper() else "dotted" if "." in t else "digits" if t.isdigit() else "short" if len(t) <= 3 else "word"
-        f = ["bias", f"mark={self.mark}", f"next={self.next}", f"gap={self.gap}", f"{self.mark}|{self.next}", "decimal" if self.mark == "dot" and self.next == "digit" and self.gap == "none" else f"{self.next}|{self.gap}", f"shape={shape}", f"{shape}|{self.next}"]
-        if is_abbreviation(t):
-            f += ["abbr", f"abbr|{self.next}"]
-        if n >= 20 and e < 0.02 * n and self.mark in ("dot", "ell"):
-            f += ["never-last", "never-last"]
-        elif n >= 5 and e >= 0.1 * n:
-            f.append("proven-last")
-        if sn >= 20 and ss < 0.005 * sn and self.next in ("letter", "lower"):
-            f += ["never-first", f"never-first|{bool(self.close)}"]
-        if self.web:
-            f.append("web")
-        if self.close:
-            f += ["closed", f"closed|{self.next}", f"closed|{self.mark}|{self.opened}"]
-        if self.mark == "ell" and self.first:
-            f.append("ell-first")
-        return f
+        last = "never" if n >= 20 and e < 0.02 * n and self.mark in ("dot", "ell") else "proven" if n >= 5 and e >= 0.1 * n else ""
+        first = sn >= 20 and ss < 0.005 * sn and self.next in ("letter", "lower")
+        return self.mark, self.next, self.gap, shape, is_abbreviation(t), last, first, self.web, bool(self.close), self.opened, self.mark == "ell" and self.first
+
+
+def features(case: tuple) -> list[str]:
+    mark, follows, gap, shape, abbreviated, last, never_first, web, closed, opened, ell_first = case
+    f = ["bias", f"mark={mark}", f"next={follows}", f"gap={gap}", f"{mark}|{follows}", "decimal" if mark == "dot" and follows == "digit" and gap == "none" else f"{follows}|{gap}", f"shape={shape}", f"{shape}|{follows}"]
+    if abbreviated:
+        f += ["abbr", f"abbr|{follows}"]
+    if last == "never":
+        f += ["never-last", "never-last"]
+    elif last == "proven":
+        f.append("proven-last")
+    if never_first:
+        f += ["never-first", f"never-first|{closed}"]
+    if web:
+        f.append("web")
+    if closed:
+        f += ["closed", f"closed|{follows}", f"closed|{mark}|{opened}"]
+    if ell_first:
+        f.append("ell-first")
+    return f
 
 
 def lines_of(text: str) -> Iterator[tuple[int, int]]:
@@ -213,11 +222,16 @@ class BoundaryModel:
 
     def __init__(self, weights: dict[str, float], ends: dict, starts: dict):
         self.weights, self.ends, self.starts = weights, ends, starts
+        self.decided: dict[tuple, bool] = {}  # the few hundred cases there are
 
     def is_end(self, c: Candidate) -> bool:
         if c.next == "end":
             return True
-        return sum(self.weights.get(f, 0.0) for f in c.features(self.ends, self.starts)) > 0
+        key = c.case(self.ends, self.starts)
+        got = self.decided.get(key)
+        if got is None:
+            got = self.decided[key] = sum(self.weights.get(f, 0.0) for f in features(key)) > 0
+        return got
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each sentence."""
@@ -291,26 +305,25 @@ def train(texts: list[str], rounds: int = 25, decay: float = 1e-3) -> BoundaryMo
     start_stat = {w: (n, starts[w]) for w, n in mids.items() if n >= 20}
     names = dict(PRIOR)
     inside = [c for c in held if _no_end(c, end_stat, start_stat)]
-    rows = [c.features(end_stat, start_stat) for c in (*real, *inside)]
-    labels = [1] * len(real) + [0] * len(inside)
+    cases = Counter((c.case(end_stat, start_stat), y) for y, of in ((1, real), (0, inside)) for c in of)
+    kinds = list(dict.fromkeys(c for c, _ in cases))  # candidates with the same features are one weighted row
+    y1 = np.array([cases[c, 1] for c in kinds], float)
+    n = y1 + np.array([cases[c, 0] for c in kinds], float)
     index: dict[str, int] = {}
-    for f in rows:
-        for x in f:
+    for c in kinds:
+        for x in features(c):
             index.setdefault(x, len(index))
-    if rows and 0 < sum(labels) < len(labels):
-        x = np.zeros((len(rows), len(index)), np.float32)
-        for i, f in enumerate(rows):
-            for k in f:
-                x[i, index[k]] += 1
-        # candidates with the same features are one weighted row
-        uniq, inv = np.unique(x, axis=0, return_inverse=True)
-        y1, n = np.bincount(inv, weights=labels), np.bincount(inv)
+    if real and inside:
+        uniq = np.zeros((len(kinds), len(index)), np.float64)
+        for i, c in enumerate(kinds):
+            for k in features(c):
+                uniq[i, index[k]] += 1
         prior = np.array([PRIOR.get(k, 0.0) for k in index])
         w = prior.copy()
         for _ in range(rounds):  # Newton steps; the prior is the centre of the penalty
             p = 1 / (1 + np.exp(-np.clip(uniq @ w, -30, 30)))
-            grad = uniq.T @ (y1 - n * p) - decay * len(rows) * (w - prior) / 10 - 0.5 * (w - prior)
-            h = (uniq * (n * p * (1 - p))[:, None]).T @ uniq + np.eye(len(w)) * (0.5 + decay * len(rows) / 10)
+            grad = uniq.T @ (y1 - n * p) - decay * n.sum() * (w - prior) / 10 - 0.5 * (w - prior)
+            h = (uniq * (n * p * (1 - p))[:, None]).T @ uniq + np.eye(len(w)) * (0.5 + decay * n.sum() / 10)
             step = np.linalg.solve(h, grad)
             w = w + np.clip(step, -3, 3)
             if np.abs(step).max() < 1e-4:
