@@ -1,20 +1,20 @@
 """Problem 9: passages of evaluation items inside documents.
 
-Words (letters, marks, digits; one case, composed) are hashed to 64 bits. Every window of
-``WINDOW`` consecutive words, of items and of documents, gets a SimHash: the sign of the window's
-sum of weighted bit votes, taken from running sums, so a window costs the same at any length. The
-fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within ``BLOCKS - 1`` bits share a block
-(pigeonhole), so look-ups by block find all of them. A candidate is then verified exactly, as a run
-of equal words.
+Words (letters, marks, digits; one case, composed) are hashed to 64 bits. Every window of ``WINDOW`` consecutive words,
+of items and of documents, gets a SimHash: bit by bit the majority of the window's words, from running sums in packed
+counters, so a window costs the same at any length. The fingerprint is cut into ``BLOCKS`` blocks; two fingerprints within
+``BLOCKS - 1`` bits share a block (pigeonhole), so look-ups by block find all of them. Candidates are verified by the
+weighted similarity of their ``SHINGLE``-word shingles (``least`` or more), and a passage is reported if it then is a run of
+equal words. Equal windows have equal fingerprints, so no passage is missed.
 
 Near copies are windows of an item's own length whose weighted shingle similarity with the whole item
 is ``least`` or more. No radius of a fingerprint holds all of these, so their candidates come from the
 shingles: such a window holds at least ``least`` of the item's shingles, hence one of any
 ``1 - least`` of them and one more (pigeonhole). Every window of such a document is compared exactly.
 
-The item side is a stated query set. It is held in blocks of at most ``ITEM_WORDS`` words each,
-broadcast one after the other, and every document is scanned against every block; no pair of
-documents is ever formed and no item is left out.
+The item side is a stated query set. It is held in blocks of at most ``ITEM_WORDS`` words each; one scan of the documents
+looks into ``BLOCKS_PER_SCAN`` of them, with the documents' words hashed once. No pair of documents is ever formed and
+no item is left out.
 
 Defined cases: null and empty documents and items contain nothing; items or documents of fewer than
 ``WINDOW`` words cannot share a passage; a document shorter than an item is one window for near copies; a document is reported once per item however often the
@@ -25,14 +25,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.codepoints import slices, unpack
+from corpusloom.llm.codepoints import slices
 from corpusloom.llm.wordhash import hashed_words
 from corpusloom.runtime import spread, valid
 
@@ -42,20 +42,41 @@ BLOCKS = 4
 RADIUS = BLOCKS - 1
 #: Most words of items that one broadcast block holds (about 60 bytes a word, so 30 MB).
 ITEM_WORDS = 500_000
+#: Blocks that a worker holds at once (about 26 MB each with their index).
+BLOCKS_PER_SCAN = 4
+
+
+@lru_cache(maxsize=4)
+def _lanes(width: int) -> np.ndarray:
+    """For each value of ``64 // width`` bits a 64-bit word with one counter of ``width`` bits for each of them."""
+    per = 64 // width
+    value = np.arange(1 << per, dtype=np.uint64)
+    out = np.zeros(1 << per, np.uint64)
+    for j in range(per):
+        out |= ((value >> np.uint64(j)) & np.uint64(1)) << np.uint64(width * j)
+    return out
+
 
+def window_prints(words: np.ndarray, doc: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of all windows of ``size`` words that lie in one document.
 
-def window_prints(words: np.ndarray, doc: np.ndarray, weight: np.ndarray | None = None, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(start, fingerprint) of all windows of ``size`` words that lie in one document."""
+    Several bits are counted at once in the counters of one 64-bit word; the difference of two running sums, modulo
+    2^64, is the sum of a window, in which no counter runs over.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.flatnonzero(doc[: n] == doc[size - 1 :])
-    out = np.zeros(n, np.uint64)
-    w = np.ones(len(words), np.int32) if weight is None else weight.astype(np.int32)
-    for bit in range(64):
-        votes = np.where((words >> np.uint64(bit)) & np.uint64(1), w, -w)
-        run = np.concatenate([[0], np.cumsum(votes, dtype=np.int64)])
-        out |= ((run[size:] - run[:-size]) > 0).astype(np.uint64) << np.uint64(bit)
+    start = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    width = next(w for w in (8, 16, 32) if size < 1 << (w - 1))
+    per, lanes, out = 64 // width, _lanes(width), np.zeros(n, np.uint64)
+    top = np.uint64(sum(1 << (width * j + width - 1) for j in range(per)))
+    more = np.uint64(sum(((1 << (width - 1)) - size // 2 - 1) << (width * j) for j in range(per)))  # lifts a majority into the counter's top bit
+    run = np.zeros(len(words) + 1, np.uint64)
+    for k in range(0, 64, per):
+        np.cumsum(lanes[((words >> np.uint64(k)) & np.uint64((1 << per) - 1)).astype(np.int64)], out=run[1:])
+        votes = (run[size:] - run[:-size] + more) & top
+        for j in range(per):
+            out |= ((votes >> np.uint64(width * j + width - 1)) & np.uint64(1)) << np.uint64(k + j)
     return start, out[start]
 
 
@@ -64,7 +85,7 @@ class ItemIndex:
 
     def __init__(self, ids: np.ndarray, words: np.ndarray, item: np.ndarray, size: int = WINDOW):
         self.ids, self.words, self.item, self.size = ids, words, item, size
-        self.start, self.prints = window_prints(words, item, size=size)
+        self.start, self.prints = window_prints(words, item, size)
         self.blocks = []
         width = 64 // BLOCKS
         for b in range(BLOCKS):
@@ -205,54 +226,51 @@ class NearIndex:
         return out[out >= self.least]
 
 
-def _scan_near(items_of, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = NearIndex(*items_of.value, least)
-        for batch in batches:
-            for at, n in slices(batch.column(1)):
-                words, doc, _ = hashed_words(batch.column(1).slice(at, n))
-                long = np.bincount(doc, minlength=n) >= WINDOW
-                shingles, doc = shingled(words, doc)
-                bounds = np.searchsorted(doc, np.arange(n + 1))
-                found = []
-                for d, i in index.candidates(shingles, doc):
-                    if long[d] and len(sim := index.similar(i, shingles[bounds[d] : bounds[d + 1]])):
-                        found.append((i, d, sim.max(), len(sim)))
-                if found:
-                    i, d, best, windows = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(index.ids[list(i)], pa.int64()), batch.column(0).slice(at, n).take(pa.array(d, pa.int64())).cast(pa.int64()), pa.array(best, pa.float64()), pa.array(windows, pa.int64())],
-                        names=["item_id", "doc_id", "similarity", "windows"],
-                    )
+NAMES = ["item_id", "doc_id", "similarity", "windows"]
 
-    return run
+
+def near_in(index: NearIndex, words: np.ndarray, doc: np.ndarray, n: int) -> list[tuple[int, int, float, int]]:
+    """(item, row, best similarity, windows) of the near copies of the index' items in ``n`` documents."""
+    long = np.bincount(doc, minlength=n) >= WINDOW
+    shingles, of = shingled(words, doc)
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    found = []
+    for d, i in index.candidates(shingles, of):
+        if long[d] and len(sim := index.similar(i, shingles[bounds[d] : bounds[d + 1]])):
+            found.append((i, d, float(sim.max()), len(sim)))
+    return found
 
 
-def _scan(index_of):
+def passages_in(index: ItemIndex, words: np.ndarray, start: np.ndarray, prints: np.ndarray, doc: np.ndarray, least: float) -> list[tuple[int, int, float, int]]:
+    """(item, row, similarity, windows) of the runs of equal words among the windows within the radius."""
+    if not len(start) or not len(index.prints):
+        return []
+    d, i = index.candidates(prints)
+    span, counts = np.arange(index.size), {}
+    for k in range(0, len(d), 200_000):
+        dk, ik = d[k : k + 200_000], i[k : k + 200_000]
+        a, b = words[start[dk][:, None] + span], index.words[index.start[ik][:, None] + span]
+        near = np.flatnonzero(shingle_similarity(a, b) >= least)
+        same = near[(a[near] == b[near]).all(axis=1)]
+        pairs, often = np.unique(np.stack([index.item[index.start[ik[same]]], doc[start[dk[same]]]]), axis=1, return_counts=True)
+        for x, y, m in zip(*pairs.tolist(), often.tolist()):
+            counts[x, y] = counts.get((x, y), 0) + m
+    return [(x, y, 1.0, m) for (x, y), m in counts.items()]
+
+
+def _scan(blocks, least: float, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = ItemIndex(*index_of.value)
-        span = np.arange(index.size)
+        indexes = [ItemIndex(*b.value) if exact else NearIndex(*b.value, least) for b in blocks]
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 words, doc, _ = hashed_words(batch.column(1).slice(at, n))
-                start, prints = window_prints(words, doc, size=index.size)
-                if not len(start) or not len(index.prints):
-                    continue
-                d, i = index.candidates(prints)
-                if not len(d):
-                    continue
-                a, b = words[start[d][:, None] + span], index.words[index.start[i][:, None] + span]
-                ok = (a == b).all(axis=1)
-                hit_doc, hit_item = doc[start[d[ok]]], index.item[index.start[i[ok]]]
-                if not len(hit_doc):
-                    continue
-                keys = hit_doc * np.int64(len(index.ids)) + hit_item
-                uniq, inv = np.unique(keys, return_inverse=True)
-                best, windows = np.ones(len(uniq)), np.bincount(inv)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(index.ids[uniq % len(index.ids)], pa.int64()), batch.column(0).slice(at, n).take(pa.array(uniq // len(index.ids))).cast(pa.int64()), pa.array(best, pa.float64()), pa.array(windows, pa.int64())],
-                    names=["item_id", "doc_id", "similarity", "windows"],
-                )
+                windows = window_prints(words, doc) if exact else ()
+                for index in indexes:
+                    found = passages_in(index, words, *windows, doc, least) if exact else near_in(index, words, doc, n)
+                    if found:
+                        i, d, best, often = zip(*found)
+                        keys = batch.column(0).slice(at, n).take(pa.array(d, pa.int64())).cast(pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(index.ids[list(i)], pa.int64()), keys, pa.array(best, pa.float64()), pa.array(often, pa.int64())], names=NAMES)
 
     return run
 
@@ -268,7 +286,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most_words: int =
             blocks.append((np.array(ids, np.int64), words, item))
         ids, texts, size = [], [], 0
 
-    for row in items.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
+    for row in items.select(id_col, valid(text_col).alias(text_col)).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1]) // 2 + 1
@@ -286,14 +304,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), valid(text).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
-    out = None
+    out, held = None, []
     for block in item_blocks(items, item_id, text):
-        held = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(_scan(held) if exact else _scan_near(held, least), "item_id bigint, doc_id bigint, similarity double, windows bigint")
+        held.append(spark.sparkContext.broadcast(block))
+    for k in range(0, len(held), BLOCKS_PER_SCAN):
+        part = rows.mapInArrow(_scan(held[k : k + BLOCKS_PER_SCAN], least, exact), "item_id bigint, doc_id bigint, similarity double, windows bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "item_id bigint, doc_id bigint, similarity double, windows bigint")
     return out.groupBy("item_id", "doc_id").agg(F.max("similarity").alias("similarity"), F.sum("windows").alias("windows"))
 
-
-__all__ = ["ItemIndex", "NearIndex", "leaks", "pc", "shingle_similarity", "unpack", "window_prints"]
