@@ -1,18 +1,24 @@
 """Problem 3: mix sources to target shares out of fixed-length blocks.
 
 The texts of each source are laid end to end (order: a hash of the row id) and cut into blocks of
-``BLOCK`` characters, so a block is a list of (row, from, to) pieces. A mix asks for so many
-characters of each source; what ``max_repeats`` allows caps it. The output is a row of shards of
-``SHARD`` slots. The number of slots each source gets in a shard is a multinomial draw, conditioned on
-the totals so that the shares come out exactly (multivariate hypergeometric). Slot numbers of a source run
-through the shards; slot ``s`` takes block ``perm(s mod n, epoch s div n)``, a keyed pseudorandom
-permutation of the source's block numbers, so no block is used a time more before all others are, and
-none more than ``max_repeats`` times. Slots and blocks meet in an equi-join on (source, block), which
-has no hot key: a block has at most ``max_repeats`` slots.
+``BLOCK`` units, so a block is a list of (row, from, to) pieces. A unit is whatever the rows' ``size`` counts: the ids
+of a tokenizer where the payload is an array of ids, characters where it is a text. A mix asks for so many
+units of each source; what ``max_repeats`` allows caps it. The output is a row of shards of ``SHARD`` slots. The
+number of slots each source gets in a shard is a multinomial draw, conditioned on the totals so that the shares come
+out exactly (multivariate hypergeometric). The draws form a tree: a range of shards shares its slots out to its halves, with
+a seed made of the mix and the range, so every shard finds its own counts and first slot numbers by one walk from the
+root. Tasks do that for their shards; the driver only knows the mixes. Slot ``s`` of a source takes block
+``perm(s mod n, epoch s div n)``, a keyed pseudorandom permutation of the source's block numbers, so no block is used a
+time more before all others are, and none more than ``max_repeats`` times. Slots and blocks meet in an equi-join on
+(source, block), which has no hot key: a block has at most ``max_repeats`` slots.
+
+A source is short of its target if the slots drawn use each of its blocks ``max_repeats`` times and still come to
+less than the target.
 
 Defined cases: null texts have size 0; a source without text or with share 0 gets no slot; rows whose
 file isn't listed belong to no source and are left out; an empty table makes every reached size 0 and
 every positive target short; repeated texts are separate rows and may each be used ``max_repeats`` times.
+Ranges of ``EXACT`` slots and more are halved by the normal law with the draw's mean and variance.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ SHARD = 4096
 SEED = 20260101
 #: Rows of one running-sum group; groups, not rows, are numbered in one window per source.
 GROUP_ROWS = 20_000
+#: numpy draws hypergeometric numbers exactly below this population.
+EXACT = 500_000_000
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -78,34 +86,57 @@ def permuted(slot: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def shard_counts(slots: np.ndarray, shard: int = SHARD, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each output shard; columns add up to ``slots``."""
-    rng, left, out = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        draw = rng.multivariate_hypergeometric(left, int(min(shard, left.sum())), method="marginals")
-        out.append(draw)
-        left -= draw
-    return np.array(out, np.int64).reshape(-1, len(slots))
-
-
-def _slots(plan: DataFrame) -> DataFrame:
-    """(mix_id, source, block, shard, slot) of every slot of the plan's rows (one per mix, shard and source)."""
+def halved(slots: np.ndarray, part: int, seed: list[int]) -> np.ndarray:
+    """How many of the slots of each source fall among ``part`` slots drawn from all of them."""
+    total = int(slots.sum())
+    rng = np.random.default_rng(seed)
+    if total < EXACT:
+        return rng.multivariate_hypergeometric(slots, part, method="marginals")
+    out, left, room = np.zeros_like(slots), total, part
+    for k in range(len(slots)):  # one source after the other, each against those after it
+        rest = left - int(slots[k])
+        mean = room * int(slots[k]) / left if left else 0.0
+        sd = (mean * (1 - room / left) * rest / max(1, left - 1)) ** 0.5 if left else 0.0
+        out[k] = min(int(slots[k]), room, max(room - rest, round(mean + sd * rng.standard_normal())))
+        left, room = rest, room - int(out[k])
+    return out
+
+
+def shard_slots(slots: np.ndarray, no: int, mix: int, shard: int = SHARD, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot number, number of slots) of each source in output shard ``no``, by the walk down the tree of ranges."""
+    count, first = slots.astype(np.int64), np.zeros(len(slots), np.int64)
+    lo, hi = 0, -(-int(count.sum()) // shard)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = halved(count, min((mid - lo) * shard, int(count.sum())), [seed, mix, lo, hi])
+        if no < mid:
+            count, hi = left, mid
+        else:
+            first, count, lo = first + left, count - left, mid
+    return first, count
+
+
+def _slots(shards: DataFrame, mixes: dict[int, np.ndarray], sources: list[str], blocks: np.ndarray) -> DataFrame:
+    """(mix_id, source, block, shard, slot) of every slot of the shards (mix_id, shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mix, source, no, first, count, n, key in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.arange(first, first + count)
-                block = np.zeros(count, np.int64)
-                for epoch in np.unique(s // n):
-                    own = s // n == epoch
-                    block[own] = permuted(s[own] % n, n, key + int(epoch))
-                yield pa.RecordBatch.from_arrays([pa.array([mix] * count, pa.int32()), pa.array([source] * count), pa.array(block), pa.array([no] * count, pa.int64()), pa.array(s)], names=["mix_id", "source", "block", "shard", "slot"])
+            for mix, no in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, (first, count) in enumerate(zip(*(x.tolist() for x in shard_slots(mixes[mix], no, mix)))):
+                    if not count:
+                        continue
+                    n, s = int(blocks[k]), np.arange(first, first + count)
+                    block = np.zeros(count, np.int64)
+                    for epoch in np.unique(s // n):
+                        own = s // n == epoch
+                        block[own] = permuted(s[own] % n, n, SEED + 1000 * mix + 100_000 * k + int(epoch))
+                    yield pa.RecordBatch.from_arrays([pa.array([mix] * count, pa.int32()), pa.array([sources[k]] * count), pa.array(block), pa.array([no] * count, pa.int64()), pa.array(s)], names=["mix_id", "source", "block", "shard", "slot"])
 
-    return plan.mapInArrow(run, "mix_id int, source string, block bigint, shard bigint, slot bigint")
+    return shards.mapInArrow(run, "mix_id int, source string, block bigint, shard bigint, slot bigint")
 
 
 class Mixture:
-    """Blocks, plan and slots of all wanted mixes.
+    """Blocks and slots of all wanted mixes.
 
     ``rows``: (source, row_id, size); ``mixes``: one row per mix with a share column per source,
     ``size_factor`` and ``max_repeats`` (a small table: it is collected).
@@ -118,39 +149,38 @@ class Mixture:
         have = {r["source"]: (r["n"], r["size"]) for r in self.blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
         self.have = {s: have.get(s, (0, 0)) for s in sources}
         total = sum(size for _, size in self.have.values())
-        self.targets, plan = [], []
+        self.targets, self.wanted = [], {}
         for m in mixes.orderBy("mix_id").collect():
-            want = np.array([m[s] * m["size_factor"] * total for s in sources])
-            most = np.array([self.have[s][1] * m["max_repeats"] for s in sources], float)
-            got = np.minimum(want, most)
-            # a whole pass over a source is n slots of size / n characters each
-            slots = np.array([min(round(g * self.have[s][0] / self.have[s][1]), self.have[s][0] * m["max_repeats"]) if self.have[s][1] else 0 for s, g in zip(sources, got)], np.int64)
-            self.targets += [(m["mix_id"], s, int(self.have[s][1]), float(w), float(c)) for s, w, c in zip(sources, want, most)]
-            counts = shard_counts(slots, seed=SEED + m["mix_id"])
-            first = np.cumsum(counts, axis=0) - counts
-            for no in range(len(counts)):
-                for k, s in enumerate(sources):
-                    if counts[no, k]:
-                        plan.append((m["mix_id"], s, no, int(first[no, k]), int(counts[no, k]), self.have[s][0], SEED + 1000 * m["mix_id"] + 100_000 * k))
-        schema = "mix_id int, source string, shard bigint, first bigint, n bigint, blocks bigint, key bigint"
-        self.plan = self.spark.createDataFrame(plan, schema)
+            slots = []
+            for s in sources:
+                n, size = self.have[s]
+                want = m[s] * m["size_factor"] * total
+                # a whole pass over a source is n slots of size / n units each
+                slots.append(min(round(want * n / size), n * m["max_repeats"]) if size else 0)
+                self.targets.append((m["mix_id"], s, int(size), n, float(want), m["max_repeats"]))
+            self.wanted[m["mix_id"]] = np.array(slots, np.int64)
 
     def slots(self) -> DataFrame:
         """Every slot of every mix with the block it takes."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return _slots(self.plan.repartition(cores * 2) if self.plan.rdd.getNumPartitions() < cores else self.plan)
+        shards = self.spark.createDataFrame([(mix, -(-int(x.sum()) // SHARD)) for mix, x in self.wanted.items()], "mix_id int, shards bigint")
+        most = max((-(-int(x.sum()) // SHARD) for x in self.wanted.values()), default=0)
+        each = self.spark.range(0, most, 1, min(max(1, most), 8 * self.spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "shard")
+        each = each.join(F.broadcast(shards), F.col("shard") < F.col("shards")).select("mix_id", "shard")  # the mixes are a small table
+        return _slots(each, self.wanted, self.sources, np.array([self.have[s][0] for s in self.sources], np.int64))
 
     def report(self) -> DataFrame:
         """(mix_id, source, size, target, reached, target_share, reached_share, most_uses, short): what the drawn blocks really add up to."""
         drawn = self.slots().groupBy("mix_id", "source", "block").agg(F.count("*").alias("uses")).join(self.blocks, ["source", "block"])
-        reached = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("size")).alias("reached"), F.max("uses").alias("most_uses"))
-        wanted = self.spark.createDataFrame(self.targets, "mix_id int, source string, size bigint, target double, most double")
-        out = wanted.join(reached, ["mix_id", "source"], "left").fillna(0, ["reached", "most_uses"])
+        reached = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("uses") * F.col("size")).alias("reached"), F.max("uses").alias("most_uses"), F.min("uses").alias("least_uses"), F.count("*").alias("used"))
+        wanted = self.spark.createDataFrame(self.targets, "mix_id int, source string, size bigint, blocks bigint, target double, max_repeats int")
+        out = wanted.join(reached, ["mix_id", "source"], "left").fillna(0, ["reached", "most_uses", "least_uses", "used"])
         whole = Window.partitionBy("mix_id")
         share = lambda c: F.when(F.sum(c).over(whole) > 0, F.col(c) / F.sum(c).over(whole))
-        return out.select("mix_id", "source", "size", "target", "reached", share("target").alias("target_share"), share("reached").alias("reached_share"), "most_uses", (F.col("most") < F.col("target")).alias("short"))
-
-    def records(self, texts: DataFrame) -> DataFrame:
-        """(mix_id, shard, slot, source, block, row_id, text): the mixed corpus; ``texts``: (row_id, text)."""
-        used = self.slots().join(self.pieces, ["source", "block"]).join(texts, "row_id")
-        return used.select("mix_id", "shard", "slot", "source", "block", "row_id", F.expr("substring(text, cast(lo + 1 AS int), cast(hi - lo AS int))").alias("text"))
+        spent = (F.col("used") == F.col("blocks")) & ((F.col("least_uses") == F.col("max_repeats")) | (F.col("blocks") == 0))
+        return out.select("mix_id", "source", "size", "target", "reached", share("target").alias("target_share"), share("reached").alias("reached_share"), "most_uses", (spent & (F.col("reached") < F.col("target"))).alias("short"))
+
+    def records(self, payload: DataFrame, col: str = "text") -> DataFrame:
+        """(mix_id, shard, slot, source, block, row_id, lo, col): the mixed corpus; ``payload``: (row_id, col), a text or an array of ids."""
+        used = self.slots().join(self.pieces, ["source", "block"]).join(payload, "row_id")
+        cut = "slice" if dict(payload.dtypes)[col].startswith("array") else "substring"
+        return used.select("mix_id", "shard", "slot", "source", "block", "row_id", "lo", F.expr(f"{cut}(`{col}`, cast(lo + 1 AS int), cast(hi - lo AS int))").alias(col))

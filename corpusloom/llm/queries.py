@@ -16,7 +16,7 @@ from corpusloom.llm.page_spam import judged, profiles
 from corpusloom.llm.personal_data import personal_data
 from corpusloom.llm.residue import residue
 from corpusloom.llm.sentence_bounds import sentences
-from corpusloom.llm.unicode_form import consistent_form, look_alike_pairs
+from corpusloom.llm.unicode_form import consistent_form, look_alike_pairs, look_alikes
 
 TYPOLOGIES = ["agglutination", "fusional", "analytic"]
 
@@ -30,6 +30,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("text_id_a"), F.col("b").alias("text_id_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that look like another string: class, string and number of links."""
+    return look_alikes(_read(spark, sf_dir, "preprocess_text"), "text_id", "text").withColumnRenamed("id", "text_id")
+
+
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "preprocess_text").select("text_id", consistent_form("text").alias("text"))
 
@@ -73,6 +78,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report().where("short").select("mix_id", F.col("source").alias("typology"))
 
 
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus of all mixes: every piece of every slot, with its text."""
+    texts = _read(spark, sf_dir, "preprocess_text").select(F.col("text_id").alias("row_id"), "text")
+    return _mixture(spark, sf_dir).records(texts).withColumnRenamed("source", "typology")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(profiles(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "language_samples"), label_col="lang"))
 
@@ -117,7 +128,7 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_sentences, p5_found, p6_found, p6_segments, p7_found, p7_counts, p8_ids, p9_found, p9_near, p10_found)
+    own = (p1_found, p1_classes, p1_forms, p2_found, p2_redacted, p3_found, p3_report, p3_records, p4_found, p4_sentences, p5_found, p6_found, p6_segments, p7_found, p7_counts, p8_ids, p9_found, p9_near, p10_found)
     return {f.__name__: f for f in own}
 
 
