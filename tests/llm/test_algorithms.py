@@ -25,9 +25,36 @@ def test_permutation():
     assert mixing.permuted(np.arange(100), 100, 1).tolist() != mixing.permuted(np.arange(100), 100, 2).tolist()
 
 
-def test_shard_counts():
-    c = mixing.shard_counts(np.array([10_000, 0, 3_333]), shard=500)
-    assert c.sum(axis=0).tolist() == [10_000, 0, 3_333] and set(c.sum(axis=1)[:-1].tolist()) == {500}
+def test_shards_share_the_slots_out_exactly():
+    slots = np.array([10_000, 0, 3_333])
+    shards = [mixing.shard_slots(slots, no, 7, 500) for no in range(27)]
+    assert sum(c for _, c in shards).tolist() == slots.tolist() and {int(c.sum()) for _, c in shards[:-1]} == {500}
+    at = np.zeros(3, np.int64)
+    for first, count in shards:
+        assert first.tolist() == at.tolist()
+        at += count
+    assert np.std([c[0] for _, c in shards[:-1]]) > 3  # a draw, not a fixed share
+    assert mixing.shard_slots(slots, 5, 8, 500)[1].tolist() != shards[5][1].tolist()
+
+
+def test_huge_populations_are_halved_too():
+    slots = np.array([3 * 10**12, 10**12, 5], np.int64)
+    left = mixing.halved(slots, 2 * 10**12, [1, 2, 3])
+    assert left.sum() == 2 * 10**12 and (left >= 0).all() and (left <= slots).all() and abs(left[0] / 1.5e12 - 1) < 1e-4
+    first, count = mixing.shard_slots(slots, 123_456_789, 1)
+    assert count.sum() == mixing.SHARD
+
+
+def test_blocks_of_token_ids(spark):
+    """The unit is a token where sizes count ids: records cut arrays."""
+    ids = {i: list(range(1000 * i, 1000 * i + 700)) for i in range(40)}
+    rows = [("a" if i % 2 else "b", i, len(x)) for i, x in ids.items()]
+    mixes = spark.createDataFrame([(1, 0.5, 0.5, 0.0, 2.0, 2)], MIXES)
+    m = mixing.Mixture(sizes(spark, rows), mixes, ["a", "b", "c"])
+    payload = spark.createDataFrame([(i, x) for i, x in ids.items()], "row_id bigint, ids array<int>")
+    got = m.records(payload, "ids").collect()
+    assert sum(len(r["ids"]) for r in got) == 2 * 40 * 700
+    assert all(r["ids"] == ids[r["row_id"]][r["lo"] : r["lo"] + len(r["ids"])] for r in got)
 
 
 def test_blocks_cover_rows_exactly(spark):

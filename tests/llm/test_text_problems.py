@@ -378,6 +378,40 @@ def test_code_lengths_equal_slow():
             assert m.score([text])[0][k] == pytest.approx(slow_bits(enc, known, 4), rel=1e-4)
 
 
+def test_ethiopic_sentences_of_three_words_count(spark, samples):
+    eng, amh = "The quiet field near the river was painted by the farmer. Two days ago, the bridge described the farmer.", "ገበሬው ወንዙን አየ። ልጁ መጽሐፍ አነበበ።"
+    got = {r["id"]: {x["lang"]: x["sentences"] for x in r["found"]} for r in ps.profiles(frame(spark, [(1, f"{eng} {amh}"), (2, f"{eng} ሰላም።")]), samples, "k").collect()}
+    assert got[1] == {"eng": 2, "amh": 2} and got[2].get("amh", 0) == 0
+
+
+def test_samples_are_bounded_by_whole_texts(spark):
+    df = spark.createDataFrame([("a", "x " * 300), ("a", "y " * 300), ("A ", "z " * 300), ("a", "w " * 5000), ("b", "ok then"), (None, "q"), ("b", None)], "lang string, text string")
+    by = lp.labelled(df, chars=1300)
+    assert len(by["a"]) == 2 and all(len(t) == 600 for t in by["a"]) and by["b"] == ["ok then"]
+    assert len(lp.labelled(df, most=1)["a"]) == 1
+    old, lp.MODEL_BYTES = lp.MODEL_BYTES, 60_000
+    try:
+        model, kept = lp.fitted(df)
+        assert model.bytes <= 60_000 and kept
+    finally:
+        lp.MODEL_BYTES = old
+
+
+def test_places():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    p = lp.Places(keys)
+    assert (p.find(keys) == np.arange(len(keys))).all()
+    assert (p.find(keys + np.uint64(1)) == np.where(np.isin(keys + np.uint64(1), keys), np.searchsorted(keys, keys + np.uint64(1)), -1)).all()
+    assert lp.Places(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aéB '’1#@./:-_ው́ <>\"")), max_size=30), max_size=8))
+def test_plain_all_equals_plain(texts):
+    assert lp.plain_all(texts) == [lp.plain(t) for t in texts]
+
+
 def test_held_out_languages(samples):
     by = lp.labelled(samples)
     m = lp.PPM({k: v[:18] for k, v in by.items()})
@@ -505,6 +539,17 @@ def test_item_blocks_give_the_same(spark, sf_dir):
         ls.ITEM_WORDS, ls.item_blocks.__defaults__ = old, defaults
 
 
+@pytest.mark.parametrize("size", [12, 40, 130])
+def test_fingerprints_are_majorities_of_bits(size):
+    rng = np.random.default_rng(size)
+    words, doc = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(3), np.repeat(np.arange(2), 200)
+    start, prints = ls.window_prints(words, doc, size)
+    assert len(start) == 2 * (201 - size)
+    for s, p in zip(start[::17], prints[::17]):
+        votes = [2 * int(((words[s : s + size] >> np.uint64(b)) & np.uint64(1)).sum()) > size for b in range(64)]
+        assert int(p) == sum(1 << b for b in range(64) if votes[b])
+
+
 def test_fingerprints_within_radius_are_all_found():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)
