@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
-from corpusloom.functions.regexkit import S, W, digit_class, java, replace_all, strip
+from corpusloom.functions.regexkit import S, W, classes, digit_class, java, replace_all, strip
 from corpusloom.runtime import valid
 
 
-def phrases(lines: str) -> str:
-    """Alternation of a phrase table, any white space between words."""
-    return "|".join(x for x in lines.strip().split("\n")).replace(" *", "{S}*").replace(" ", "{S}+")
+def phrases(groups: tuple[str, ...]) -> str:
+    """Alternation of a phrase table."""
+    return classes("|".join(groups))
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -66,16 +66,16 @@ PATTERNS = {
     "newlines": (r"[\r\n]+", ""),
     "tags": (
         r"!\[[^\]]*\](?:\([^\)]*\))?"
-        r"|\[{S}*(?:" + "|".join(rules.MEDIA.split()) + r"|embedded{S}+content)(?:{W}|{S}|[:./_-])*\]"
+        r"|\[{S}*(?:" + "|".join(rules.MEDIA) + r"|embedded{S}+content)(?:{W}|{S}|[:./_-])*\]"
         r"|<[^>]+>"
         r"|\[[^\]]*\]\((?:https?://|www\.){NS}+\)"
         r"|\[(?:" + rules.MEDIA_BRACKET + r")\]"
-        r"|{B}(?:" + "|".join(rules.MISSING_THINGS.split()) + r"){S}+(?:" + rules.MISSING_STATES.replace(" ", "{S}+") + r"){B}",
+        r"|{B}(?:" + "|".join(rules.MISSING_THINGS) + r"){S}+(?:" + classes(rules.MISSING_STATES) + r"){B}",
         "iu",
     ),
     "urls": (r"{B}(?:" + rules.LINK_STARTS + r"){NS}+", "iu"),
     "spam": (
-        r"{B}(?:" + phrases(rules.PROMO_LATIN) + r"){B}|" + phrases(rules.PROMO_OTHER) + r"|{B}(?:" + "|".join(x.replace(".", r"\.") for x in rules.INVITE_HOSTS.split()) + r")/{NS}+",
+        r"{B}(?:" + phrases(rules.PROMO_WORDS) + r"){B}|" + phrases(rules.PROMO_TEXTS) + r"|{B}(?:" + "|".join(x.replace(".", r"\.") for x in rules.INVITE_HOSTS) + r")/{NS}+",
         "iu",
     ),
     "floods": (r"[!?.]{4,}|[#*=_~-]{4,}", ""),
@@ -91,7 +91,7 @@ ORDER = tuple(PATTERNS)
 #: The same patterns in a form that Java's engine runs faster: every branch after a boundary begins with a word character.
 _FASTER = {
     "spam": (
-        START + "(?:" + by_first_letter(phrases(rules.PROMO_LATIN)) + "){B}|(?:" + by_first_letter(phrases(rules.PROMO_OTHER)) + ")|" + START + "(?:" + "|".join(x.replace(".", r"\.") for x in rules.INVITE_HOSTS.split()) + ")/{NS}+",
+        START + "(?:" + by_first_letter(phrases(rules.PROMO_WORDS)) + "){B}|(?:" + by_first_letter(phrases(rules.PROMO_TEXTS)) + ")|" + START + "(?:" + "|".join(x.replace(".", r"\.") for x in rules.INVITE_HOSTS) + ")/{NS}+",
         "iu",
     ),
     **{k: (START + PATTERNS[k][0].removeprefix("{B}"), PATTERNS[k][1]) for k in ("urls", "ipv4", "cards")},
@@ -118,8 +118,6 @@ def _unescaped(col: pa.Array) -> pa.Array:
 
 
 _EDGE = "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in rules.TOKEN_EDGE) + "]"
-_FLOOD = r"^{W}*([a-zA-Z])\1{4,}{W}*$"
-_CAMEL = r"^(?:[A-Z][a-z0-9]+){2,}$"
 
 
 def has_letter_and_digit(token: Column) -> Column:
@@ -135,8 +133,8 @@ def bare_token(token: Column) -> Column:
 def keeps(bare: Column) -> Column:
     """Whether the token filter keeps a token, judged by its bare form."""
     number = ~bare.rlike(r"\p{L}") & bare.rlike(f"[{digit_class()}]")
-    camel = (F.length(bare) >= 8) & (F.length(F.regexp_replace(bare, F.lit(r"[^\p{Lu}]"), F.lit(""))) >= 2) & bare.rlike(_CAMEL)
-    return (bare != "") & ~number & ~bare.rlike(java(_FLOOD)) & ~camel & ~F.lower(bare).isin(rules.PLATFORM_WORDS)
+    camel = (F.length(bare) >= 8) & (F.length(F.regexp_replace(bare, F.lit(r"[^\p{Lu}]"), F.lit(""))) >= 2) & bare.rlike(rules.CAMEL)
+    return (bare != "") & ~number & ~bare.rlike(java(classes(rules.FLOOD))) & ~camel & ~F.lower(bare).isin(*rules.PLATFORM_WORDS)
 
 
 def token_filter(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import rules
-from corpusloom.functions.regexkit import collapse, java, replace_all
+from corpusloom.functions.regexkit import collapse, replace_all
 from corpusloom.runtime import valid
 
 _ONE_TO_ONE = {k: v for k, v in rules.PUNCTUATION.items() if len(v) == 1}
@@ -111,14 +111,9 @@ def _ascii_letters(col: pa.Array) -> pa.Array:
     return pa.array([one(t) for t in col.to_pylist()], pa.string())
 
 
-_SUFFIX = r"(?i)(_normalized|_norm)?(_dataset|_cln|_cleaned|_clean|_train|_eval|_test|_corpus|_text|_webtext|_mix|_raw|_data|_final|_v\d+|\b[0-9]+\b)?$"
-
-
 def file_key(name: Column) -> Column:
     """Base name of a file without data-set suffixes, as bare ASCII letters and digits."""
     base = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", "")
-    short = F.regexp_replace(F.lower(_ascii_letters(valid(F.lower(F.regexp_replace(base, F.lit(_SUFFIX), F.lit("")))))), "[^a-z0-9]", "")
+    short = F.regexp_replace(F.lower(_ascii_letters(valid(F.lower(F.regexp_replace(base, F.lit(rules.SUFFIX), F.lit("")))))), "[^a-z0-9]", "")
     return F.when(short != "", short).otherwise(F.lower(base))
 
-
-__all__ = ["atomic_length", "java", "marker", "masked", "normalised", "units"]

@@ -21,6 +21,11 @@ NS = f"[^{S_INNER}]"
 BOUNDARY = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 
 
+def classes(pattern: str) -> str:
+    """The placeholders for a pattern that is written with ``\\s``, ``\\S``, ``\\w`` and ``\\b`` outside of brackets."""
+    return pattern.replace(r"\s", "{S}").replace(r"\S", "{NS}").replace(r"\w", "{W}").replace(r"\b", "{B}")
+
+
 def java(pattern: str, flags: str = "") -> str:
     out = pattern.replace("{W}", W).replace("{NS}", NS).replace("{S}", S).replace("{B}", BOUNDARY)
     return f"(?{flags}){out}" if flags else out

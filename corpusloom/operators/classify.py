@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,23 @@ from corpusloom.functions import rules
 from corpusloom.functions.regexkit import S
 
 
-def alias_table(spark: SparkSession, aliases: dict[str, list[str] | str] | None = None) -> DataFrame:
-    """(family, family_rank, alias, bare) of an ordered alias mapping; a small table by its nature (names of languages)."""
+#: Most aliases a table may hold: it is broadcast.
+MOST_ALIASES = 100_000
+
+
+def alias_table(spark: SparkSession, aliases: dict[str, list[str] | tuple[str, ...] | str] | str | None = None) -> DataFrame:
+    """(family, family_rank, alias, bare) of an ordered alias mapping, given as such, as the path of a JSON file or by default the built-in one.
+
+    It holds names of languages, so it is small; more than ``MOST_ALIASES`` are refused, as the table is broadcast.
+    """
+    if isinstance(aliases, str):
+        aliases = json.loads("\n".join(r[0] for r in spark.read.text(aliases, wholetext=True).collect()))
     rows = []
     for rank, (family, names) in enumerate((aliases or rules.ALIASES).items()):
         for n in names.split() if isinstance(names, str) else names:
             rows.append((family, rank, n.lower(), "".join(c for c in n.lower() if c.isascii() and c.isalnum())))
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
     return spark.createDataFrame(rows, "family string, family_rank int, alias string, bare string")
 
 
@@ -42,7 +55,7 @@ def name_typology(name: Column) -> Column:
     low = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
     out = None
     for typology, words in rules.NAME_KEYWORDS.items():
-        hit = low.rlike("|".join(words.split()))
+        hit = low.rlike("|".join(words))
         out = F.when(hit, typology) if out is None else out.when(hit, typology)
     return out.otherwise("fusional")
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.normalize import units
-from corpusloom.functions.regexkit import S, strip
+from corpusloom.functions.regexkit import S, digit_class, strip
 
+# Fixed value: what ends a clause.
 CLAUSE = rf"[\r\n\t]+|[.!?…:;\"«»—–]+|(?<={S})['’]|['’](?={S})"
 
 
@@ -19,7 +20,7 @@ def clauses(text: Column) -> Column:
 def surfaces(clause: Column) -> Column:
     """Words of a clause as counted: a space in front unless first; positions count every part; numbers are no words."""
     parts = F.split(strip(clause), " ", -1)
-    words = F.transform(parts, lambda w, i: F.when((w != "") & ~w.rlike(r"^\p{Nd}+$"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w)))
+    words = F.transform(parts, lambda w, i: F.when((w != "") & ~w.rlike(f"^[{digit_class()}]+$"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w)))
     return F.filter(words, lambda w: w.isNotNull())
 
 

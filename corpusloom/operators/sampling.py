@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import rules
 from corpusloom.functions.regexkit import NS
+from corpusloom.runtime import materialise
 
 
 def draw_key(seed: int, *cols: str) -> Column:
@@ -19,20 +20,37 @@ def counts_per_file(df: DataFrame, file: str = "file") -> DataFrame:
     return df.groupBy(file).agg(F.count("*").alias("n"))
 
 
-def balanced(df: DataFrame, key: tuple[str, ...], file: str = "file", seed: int = rules.SEED, salts: int = 32) -> DataFrame:
-    """As many rows of each file as the smallest one has, drawn by ``draw_key`` over ``key``.
+#: Leading hexadecimal digits of a draw key that are counted to find where a sample ends: 65,536 buckets.
+DIGITS = 4
 
-    Each file is first cut to its share inside ``salts`` hash groups, since a row beyond the minimum inside
-    its group is beyond it in the file too; so the final window sees at most ``salts`` times the
-    minimum of a file, however large it is.
+
+def smallest(df: DataFrame, key: tuple[str, ...], by: tuple[str, ...], quota, seed: int) -> DataFrame:
+    """The rows of each group with the smallest draw keys, as many as ``quota(histogram)`` says (a number, after one look at the counts).
+
+    Draw keys are counted by their first digits; whole buckets below the one in which a sample ends are kept by a filter,
+    and only that bucket, a 65,536th of the group, is put in order. Nothing else is sorted or shuffled.
     """
-    least = counts_per_file(df, file).agg(F.min("n")).first()[0] or 0
-    keyed = df.withColumn("_draw", draw_key(seed, *key))
-    order = [F.col("_draw"), *map(F.col, key)]
-    first = Window.partitionBy(file, F.pmod(F.xxhash64("_draw"), F.lit(salts))).orderBy(*order)
-    whole = Window.partitionBy(file).orderBy(*order)
-    few = keyed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= least)
-    return few.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= least).drop("_n", "_draw")
+    keyed = df.withColumn("_draw", draw_key(seed, *key)).withColumn("_bucket", F.substring("_draw", 1, DIGITS))
+    counts = materialise(keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")), "draws")
+    most = quota(counts)
+    run = Window.partitionBy(*by).orderBy("_bucket")  # at most 65,536 rows a group
+    before = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n"))
+    edge = before.where((F.col("_before") < most) & (F.col("_before") + F.col("_n") >= most)).select(*by, F.col("_bucket").alias("_edge"), (F.lit(most) - F.col("_before")).alias("_room"))
+    if by:
+        marked = keyed.join(F.broadcast(edge), list(by), "left")  # a row a group
+    elif (end := edge.first()) is None:
+        return df
+    else:
+        marked = keyed.withColumns({"_edge": F.lit(end["_edge"]), "_room": F.lit(end["_room"])})
+    below = marked.where(F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
+    last = Window.partitionBy(*by).orderBy("_draw", *key)
+    at = marked.where(F.col("_bucket") == F.col("_edge")).withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= F.col("_room")).drop("_n")
+    return below.unionByName(at).select(*df.columns)
+
+
+def balanced(df: DataFrame, key: tuple[str, ...], file: str = "file", seed: int = rules.SEED) -> DataFrame:
+    """As many rows of each file as the smallest one has, drawn by ``draw_key`` over ``key``; see ``smallest``."""
+    return smallest(df, key, (file,), lambda counts: counts.groupBy(file).agg(F.sum("_n").alias("n")).agg(F.min("n")).first()[0] or 0, seed)
 
 
 def shuffled(df: DataFrame, key: tuple[str, ...], seed: int = rules.SEED) -> DataFrame:
@@ -41,11 +59,10 @@ def shuffled(df: DataFrame, key: tuple[str, ...], seed: int = rules.SEED) -> Dat
 
 
 def subsample(df: DataFrame, key: tuple[str, ...], ratio: float, seed: int = rules.SEED) -> DataFrame:
-    """max(1, int(n * ratio)) rows in seeded order; everything at a ratio of 1 or more."""
+    """max(1, int(n * ratio)) rows, those with the smallest draw keys; everything at a ratio of 1 or more; nothing of nothing. See ``smallest``."""
     if ratio >= 1:
         return df
-    n = df.count()
-    return df.orderBy(draw_key(seed, *key), *key).limit(max(1, int(n * ratio))) if n else df
+    return smallest(df, key, (), lambda counts: max(1, int((counts.agg(F.sum("_n")).first()[0] or 0) * ratio)), seed)
 
 
 def word_number(text: Column) -> Column:

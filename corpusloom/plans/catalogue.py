@@ -182,10 +182,7 @@ def stream_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_sentences`` run as a stream over the table's files."""
     from corpusloom.streaming.streams import cleaned_sentences, to_table
 
-    batch = table(spark, sf_dir, "clean_raw_dataset_text")
-    source = scratch(spark, "stream-in")
-    batch.select("line_id", "text").write.parquet(source)
-    stream = spark.readStream.schema("line_id bigint, text string").parquet(source)
+    stream = spark.readStream.schema("line_id bigint, text string").parquet(f"{sf_dir}/clean_raw_dataset_text.parque[t]")  # a pattern, as a stream takes no single file
     out, mark = scratch(spark, "stream-out"), scratch(spark, "stream-mark")
     rows = cleaned_sentences(stream, "text", ("line_id",))
     to_table(rows, out, mark).awaitTermination()
@@ -252,11 +249,11 @@ def oracle_sql() -> dict[str, str]:
     for a, b in rules.PUNCTUATION.items():
         expr = f"replace({expr}, {lit(a)}, {lit(b)})"
     out["plain_punctuation"] = f"SELECT text_id, {expr} AS text FROM preprocess_text"
-    links = sub(sub(sub("text", r"https?://{NS}+|www\.{NS}+", " ", "i"), "@{W}+", " "), "#{W}+", " ")
+    links = sub(sub(sub("text", f"https?://{sql.NS}+|www\\.{sql.NS}+", " ", "i"), f"@{sql.W}+", " "), f"#{sql.W}+", " ")
     out["without_links"] = f"SELECT text_id, {links} AS text FROM preprocess_text"
     out["masked_markers"] = f"SELECT line_id, {sub('text', rules.MARKER, '__U_' + chr(92) + '1__')} AS text FROM clean_raw_dataset_text"
     out["atomic_lengths"] = f"SELECT line_id, CAST(coalesce(len(regexp_extract_all(text, {unit})), 0) AS BIGINT) AS units FROM clean_raw_dataset_text"
-    cases = " ".join(f"WHEN regexp_matches(replace(lower(file), '-', '_'), {lit('|'.join(w.split()))}) THEN {lit(t)}" for t, w in rules.NAME_KEYWORDS.items())
+    cases = " ".join(f"WHEN regexp_matches(replace(lower(file), '-', '_'), {lit('|'.join(w))}) THEN {lit(t)}" for t, w in rules.NAME_KEYWORDS.items())
     out["typology_names"] = f"SELECT file, CASE {cases} ELSE 'fusional' END AS typology FROM dataset_files"
     blocks = lambda names: f"regexp_matches(t, {lit('|'.join(f'__U_{n}|' + chr(92) + '[U' + chr(92) + f'+{n}' for n in names))})"
     anyof = lambda names: f"list_has_any(regexp_split_to_array(lower(t), {lit(sql.S + '+')}), [{', '.join(map(lit, names))}])"
@@ -264,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT text_id, CASE WHEN {blocks(rules.FUSIONAL_BLOCKS)} OR {anyof(rules.FUSIONAL_WORDS)} THEN 'fusional' WHEN {blocks(rules.ANALYTIC_BLOCKS)} OR {anyof(rules.ANALYTIC_WORDS)} THEN 'analytic' ELSE 'agglutination' END AS typology "
         "FROM (SELECT text_id, coalesce(text, '') AS t FROM preprocess_text)"
     )
-    values = ", ".join(f"({lit(f)}, {r}, {lit(a)}, {lit(''.join(c for c in a if c.isascii() and c.isalnum()))})" for r, (f, names) in enumerate(rules.ALIASES.items()) for a in names.split())
+    values = ", ".join(f"({lit(f)}, {r}, {lit(a)}, {lit(''.join(c for c in a if c.isascii() and c.isalnum()))})" for r, (f, names) in enumerate(rules.ALIASES.items()) for a in names)
     noise = ", ".join(map(lit, sorted(rules.NAME_NOISE)))
     skip = ", ".join(map(lit, sorted(rules.GENERATED | rules.PASSED_OVER)))
     fam = (

@@ -1,27 +1,30 @@
-"""Vocabulary files: JSON in both layouts, and the sink."""
+"""Vocabulary files, wherever Hadoop's file systems reach: JSON in both layouts, and the sink."""
 
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def read_vocabulary(spark: SparkSession, path: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """(token_id, token) of ``{token: id}`` or ``{"vocab": {id: token}}``; of double tokens or ids the last counts.
 
-    ``path`` is tried as it is, then in ``folders``.
+    ``path`` is tried as it is, then by its name in ``folders``. A vocabulary is a bounded table.
     """
-    local = path.removeprefix("file://")
-    for at in [local, *(os.path.join(f, os.path.basename(local)) for f in folders)]:
-        if os.path.exists(at):
+    for at in [path, *(f"{f}/{path.rsplit('/', 1)[-1]}" for f in folders)]:
+        fs, place = _place(spark, at)
+        if fs.exists(place):
             break
     else:
         raise FileNotFoundError(path)
-    with open(at, encoding="utf-8") as f:
-        data = json.load(f)
+    data = json.loads(spark.read.text(at, wholetext=True).first()[0])
     if isinstance(data.get("vocab"), dict):
         ids = {int(i): t for i, t in data["vocab"].items()}
     else:
@@ -31,11 +34,11 @@ def read_vocabulary(spark: SparkSession, path: str, folders: tuple[str, ...] = (
 
 
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
-    """``{token: id}`` in the order of ids, ASCII-escaped, indented by 2; of equal tokens the later id counts."""
+    """``{token: id}`` in the order of ids, ASCII-escaped, indented by 2; of equal tokens the later id counts. One file."""
     table = {r["token"]: r["token_id"] for r in vocabulary.orderBy("token_id").toLocalIterator()}
-    with open(path.removeprefix("file://"), "w", encoding="utf-8") as f:
-        json.dump(table, f, ensure_ascii=True, indent=2)
-
-
-def token_ids(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.select(F.col("token_id").cast("int"), "token")
+    fs, place = _place(vocabulary.sparkSession, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(json.dumps(table, ensure_ascii=True, indent=2).encode("ascii")))
+    finally:
+        out.close()

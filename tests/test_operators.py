@@ -23,6 +23,11 @@ def test_sentence_goldens(spark):
     assert column(spark, sn.sentence_array, given) == wanted
 
 
+def test_numbers_are_digits_of_any_kind(spark):
+    df = spark.createDataFrame([("a ² ①② ١٢ x² ፩ 7",)], "text string")
+    assert {r["surface"] for r in counts.word_counts(df).collect()} == {w if i == 0 else " " + w for i, w in enumerate("a ² ①② ١٢ x² ፩ 7".split()) if not w.isdigit()}
+
+
 def test_clauses_and_surfaces(spark):
     df = spark.createDataFrame([("a, b: c",), ("the cat 12 sat",), (None,), ("",)], "text string")
     assert {(r["surface"], r["n"]) for r in counts.word_counts(df).collect()} == {("a,", 1), (" b", 1), ("c", 1), ("the", 1), (" cat", 1), (" sat", 1)}
@@ -64,6 +69,10 @@ def test_balanced_sample(spark):
     assert {r["k"] for r in order.collect()} == {r["k"] for r in one.where("file = 'big.txt'").collect()}
     assert sampling.balanced(df.limit(0), ("file", "k")).count() == 0
     assert sampling.subsample(df, ("file", "k"), 0.001).count() == 1
+    third = {(r["file"], r["k"]) for r in sampling.subsample(df, ("file", "k"), 0.34).collect()}
+    order = df.withColumn("d", sampling.draw_key(rules.SEED, "file", "k")).orderBy("d").limit(int(507 * 0.34))
+    assert third == {(r["file"], r["k"]) for r in order.collect()} and len(third) == 172
+    assert sampling.subsample(df, ("file", "k"), 1.0).count() == 507 and sampling.subsample(df.limit(0), ("file", "k"), 0.5).count() == 0
     assert sampling.shuffled(df, ("file", "k")).count() == 507
 
 
@@ -221,3 +230,38 @@ def test_report(spark):
     assert set(got) == {None, "a.txt", "b.txt"}
     assert got[None]["tokens"] == 5 and got[None]["passed"] and got["a.txt"]["chars_per_token"] == 3.0
     assert re.match("true", str(got["b.txt"]["passed"]).lower())
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_distributed_merges_equal_the_loop(spark, seed):
+    """Random vocabularies, both stages; pairs that are refused still make others."""
+    r = random.Random(seed)
+    if seed % 2:
+        words = [([r.choice(["the", " cat", " sat", " big", "The", " on"]) for _ in range(r.randint(2, 5))], r.randint(2, 9)) for _ in range(14)]
+        guard = lambda: bpe.Guard({"the cat", " cat sat"}, True, 3)
+    else:
+        words = [([r.choice("abxl") for _ in range(r.randint(2, 6))], r.randint(2, 20)) for _ in range(14)]
+        guard = lambda: bpe.Guard({"ab", "xl", "ba"})
+    table = spark.createDataFrame(words, "units array<string>, n bigint")
+    assert bpe.learn(table, 12, guard(), most=0) == bpe.learn(table, 12, guard())
+
+
+def test_refused_pairs_bound_a_round(spark):
+    words = [(list(w), n) for w, n in (("xlr", 20), ("xl", 4), ("abc", 21), ("ab", 1), ("pq", 8))]
+    table = spark.createDataFrame(words, "units array<string>, n bigint")
+    assert bpe.learn(table, 6, bpe.Guard({"xl"}), most=0) == bpe.merge_loop(sorted(words), 6, bpe.Guard({"xl"}))
+
+
+def test_alias_table_from_a_file(spark, tmp_path):
+    (tmp_path / "aliases.json").write_text('{"one": ["abc", "x-yz"], "two": "defg hij"}', encoding="utf-8")
+    rows = {(r["family"], r["family_rank"], r["alias"], r["bare"]) for r in classify.alias_table(spark, f"file://{tmp_path}/aliases.json").collect()}
+    assert rows == {("one", 0, "abc", "abc"), ("one", 0, "x-yz", "xyz"), ("two", 1, "defg", "defg"), ("two", 1, "hij", "hij")}
+    with pytest.raises(ValueError, match="aliases"):
+        classify.alias_table(spark, {"a": [f"n{i}" for i in range(classify.MOST_ALIASES + 1)]})
+
+
+def test_families_of_the_project_files(spark, sf_dir):
+    """Files of the project's families; of others, parts of the name may be an alias."""
+    files = spark.read.parquet(f"{sf_dir}/dataset_files.parquet")
+    got = {r["file"]: r["family"] for r in classify.file_families(files.select("file"), classify.alias_table(spark)).collect()}
+    assert all(got[r["file"]] == r["family"] for r in files.where("family IS NOT NULL").collect())
