@@ -163,9 +163,8 @@ class Mixture:
     def slots(self) -> DataFrame:
         """Every slot of every mix with the block it takes."""
         shards = self.spark.createDataFrame([(mix, -(-int(x.sum()) // SHARD)) for mix, x in self.wanted.items()], "mix_id int, shards bigint")
-        most = max((-(-int(x.sum()) // SHARD) for x in self.wanted.values()), default=0)
-        each = self.spark.range(0, most, 1, min(max(1, most), 8 * self.spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "shard")
-        each = each.join(F.broadcast(shards), F.col("shard") < F.col("shards")).select("mix_id", "shard")  # the mixes are a small table
+        parts = shards.where("shards > 0").select("mix_id", "shards", F.explode(F.expr("sequence(0L, (shards - 1) div 256)")).alias("part")).repartition("mix_id", "part")
+        each = parts.select("mix_id", F.explode(F.expr("sequence(part * 256, least(shards - 1, part * 256 + 255))")).alias("shard"))
         return _slots(each, self.wanted, self.sources, np.array([self.have[s][0] for s in self.sources], np.int64))
 
     def report(self) -> DataFrame:
