@@ -12,6 +12,7 @@ from corpusloom.functions import clean, rules
 from corpusloom.functions import normalize as nz
 from corpusloom.operators import bpe, classify, codec, counts, evaluate, sampling
 from corpusloom.operators import sentences as sn
+from corpusloom.plans import coding
 from corpusloom.plans import sqltext as sql
 from corpusloom.runtime import scratch, spread, table
 
@@ -171,7 +172,7 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoding and decoding with a fixed vocabulary of ASCII and some short words; characters beyond it become token 0."""
+    """Encoding and decoding of whole documents with the characters of ASCII as vocabulary; others become token 0. Longer tokens: ``coding.fixed_codec``."""
     vocabulary = {chr(c): i for i, c in enumerate(rules.ASCII)}
     rows = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = codec.decoded(rows.withColumn("ids", codec.encoder(vocabulary)("text")), vocabulary, to="back")
@@ -198,7 +199,7 @@ _OWN = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _OWN} | {n: partial(clean_step, step=s) for n, s in _STEPS.items()}
+    return {f.__name__: f for f in _OWN} | {n: partial(clean_step, step=s) for n, s in _STEPS.items()} | coding.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -261,6 +262,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT text_id, CASE WHEN {blocks(rules.FUSIONAL_BLOCKS)} OR {anyof(rules.FUSIONAL_WORDS)} THEN 'fusional' WHEN {blocks(rules.ANALYTIC_BLOCKS)} OR {anyof(rules.ANALYTIC_WORDS)} THEN 'analytic' ELSE 'agglutination' END AS typology "
         "FROM (SELECT text_id, coalesce(text, '') AS t FROM preprocess_text)"
     )
+    names = out["typology_names"].split(" AS typology")[0].removeprefix("SELECT file, ")
+    lines_ = out["typology_lines"].split(" AS typology")[0].removeprefix("SELECT text_id, ")
+    out["routed_lines"] = f"SELECT file, CASE WHEN regexp_matches(lower(file), 'all|corpus') THEN {lines_} ELSE {names} END AS typology, count(*) AS n FROM (SELECT file, text AS t FROM preprocess_text WHERE text IS NOT NULL) GROUP BY 1, 2"
     values = ", ".join(f"({lit(f)}, {r}, {lit(a)}, {lit(''.join(c for c in a if c.isascii() and c.isalnum()))})" for r, (f, names) in enumerate(rules.ALIASES.items()) for a in names)
     noise = ", ".join(map(lit, sorted(rules.NAME_NOISE)))
     skip = ", ".join(map(lit, sorted(rules.GENERATED | rules.PASSED_OVER)))
@@ -276,5 +280,6 @@ def oracle_sql() -> dict[str, str]:
     out["char_codec"] = (
         "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS tokens, regexp_replace(coalesce(text, ''), '(?s)[^ -~]', ' ', 'g') AS back FROM documents"
     )
-    return out
+    own = f"{sql.clause_ctes('languages')}, sf AS (SELECT unnest({sql.surface_list('clause')}) AS surface FROM cl)"
+    return out | coding.oracle_sql(own)
 
