@@ -21,6 +21,7 @@ re-encoded as far as needed. The tokenizer file is a parameter.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
@@ -38,6 +39,8 @@ MEAN_CHUNK = 512
 MOST_CHUNK = 4096
 #: Bytes after a word that the pre-tokeniser may have looked at before it ended the word (a contraction: 3).
 LOOK_AHEAD = 8
+#: Bytes of the right chunk that are encoded anew at first.
+WINDOW = 64
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -93,7 +96,8 @@ def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def _load(path: str):
-    """The tokenizer and the number of bytes of each of its tokens."""
+    """The tokenizer and the number of bytes of each of its tokens. One thread each: tasks are what runs side by side."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -149,11 +153,9 @@ def joined_ids(chunks: list[tuple[bytes, np.ndarray, np.ndarray]], encode, size:
         starts = np.concatenate([[0], np.cumsum(size[ids])])[first] if len(ids) else np.zeros(0, np.int64)
         at = 0  # index of the first word of this chunk that is taken over
         if carry:
-            at, take = -1, max(64, len(carry) // 2)
+            at, take = -1, max(WINDOW, len(carry) // 2)
             while True:
-                head = text[:take]
-                while head and len(head) < len(text) and (text[len(head)] & 0xC0) == 0x80:
-                    head = text[: len(head) + 1]
+                head = head_of(text, take)
                 whole = len(head) == len(text)
                 wids, wfirst = encode(carry + head)
                 wstarts = np.concatenate([[0], np.cumsum(size[wids])])[wfirst] - len(carry)
@@ -161,10 +163,11 @@ def joined_ids(chunks: list[tuple[bytes, np.ndarray, np.ndarray]], encode, size:
                 sure = ends <= len(head) - LOOK_AHEAD
                 if whole and last:
                     sure[:] = True
-                fit = np.flatnonzero(sure & (wstarts >= 0) & np.isin(wstarts, starts))
+                place = np.searchsorted(starts, wstarts)
+                fit = np.flatnonzero(sure & (wstarts >= 0) & (starts[np.minimum(place, len(starts) - 1)] == wstarts)) if len(starts) else place[:0]
                 if len(fit):
                     out.append(wids[: wfirst[fit[0]]])
-                    at, tried = int(np.searchsorted(starts, wstarts[fit[0]])), 0
+                    at, tried = int(place[fit[0]]), 0
                     break
                 if whole:
                     break
@@ -193,15 +196,39 @@ def joined_ids(chunks: list[tuple[bytes, np.ndarray, np.ndarray]], encode, size:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+def head_of(text: bytes, take: int) -> bytes:
+    """The first ``take`` bytes, and those that complete the last letter."""
+    while take < len(text) and (text[take] & 0xC0) == 0x80:
+        take += 1
+    return text[:take]
+
+
+def first_windows(chunks: list[tuple[bytes, np.ndarray, np.ndarray]], size: np.ndarray) -> list[bytes]:
+    """What ``joined_ids`` encodes first at each join, as far as no join changes what comes after the next."""
+    out = []
+    for (text, ids, first), (after, _, _) in zip(chunks, chunks[1:]):
+        starts = np.concatenate([[0], np.cumsum(size[ids])])[first]
+        ends = np.append(starts[1:], len(text))
+        unsure = np.flatnonzero(ends > len(text) - LOOK_AHEAD)
+        if len(unsure):
+            carry = text[int(starts[unsure[0]]) :]
+            out.append(carry + head_of(after, max(WINDOW, len(carry) // 2)))
+    return out
+
+
 def _whole(path: str):
     """(t, text, n, one, given: [(place, ids)]) -> (t, n, one, ids): chunks without given ids are encoded here, then all are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, size = _load(path)
 
+        ready: dict[bytes, np.ndarray] = {}  # first windows, encoded together
+
         def encode(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-            e = t.encode(b.decode("utf-8"), add_special_tokens=False)
-            return np.array(e.ids, np.int32), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1))
+            x = ready.get(b)
+            if x is None:
+                x = _signed([t.encode(b.decode("utf-8"), add_special_tokens=False)])[0]
+            return np.where(x < 0, -1 - x, x), np.flatnonzero(x < 0)
 
         for batch in batches:
             for at, n in slices(batch.column("text")):
@@ -218,10 +245,10 @@ def _whole(path: str):
                 texts = chunks.to_pylist()
                 for i, x in zip(left, _signed(t.encode_batch([texts[i] for i in left], add_special_tokens=False))):
                     signed[i] = x
-                made = []
-                for r in range(n):
-                    own = [(texts[i].encode(), np.where(x < 0, -1 - x, x), np.flatnonzero(x < 0)) for i in range(first[r], first[r + 1]) for x in (signed[i],)]
-                    made.append(joined_ids(own, encode, size))
+                rows = [[(texts[i].encode(), np.where(x < 0, -1 - x, x), np.flatnonzero(x < 0)) for i in range(first[r], first[r + 1]) for x in (signed[i],)] for r in range(n)]
+                windows = sorted({w for own in rows for w in first_windows(own, size)})
+                ready = dict(zip(windows, _signed(t.encode_batch([w.decode("utf-8") for w in windows], add_special_tokens=False))))
+                made = [joined_ids(own, encode, size) for own in rows]
                 yield pa.RecordBatch.from_arrays([part.column("t"), part.column("n"), part.column("one"), pa.array(made, pa.list_(pa.int32()))], names=["t", "n", "one", "ids"])
 
     return run
