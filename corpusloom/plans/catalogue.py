@@ -12,7 +12,7 @@ from corpusloom.functions import clean, rules
 from corpusloom.functions import normalize as nz
 from corpusloom.operators import bpe, classify, codec, counts, evaluate, sampling
 from corpusloom.operators import sentences as sn
-from corpusloom.plans import coding
+from corpusloom.plans import coding, reading
 from corpusloom.plans import sqltext as sql
 from corpusloom.runtime import scratch, spread, table
 
@@ -199,7 +199,7 @@ _OWN = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _OWN} | {n: partial(clean_step, step=s) for n, s in _STEPS.items()} | coding.queries()
+    return {f.__name__: f for f in _OWN} | {n: partial(clean_step, step=s) for n, s in _STEPS.items()} | coding.queries() | reading.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -281,5 +281,5 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS tokens, regexp_replace(coalesce(text, ''), '(?s)[^ -~]', ' ', 'g') AS back FROM documents"
     )
     own = f"{sql.clause_ctes('languages')}, sf AS (SELECT unnest({sql.surface_list('clause')}) AS surface FROM cl)"
-    return out | coding.oracle_sql(own)
+    return out | coding.oracle_sql(own) | reading.oracle_sql(out["family_names"])
 
