@@ -51,6 +51,8 @@ MODEL_BYTES = 256 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NOISE = re.compile(r"https?://\S+|www\.\S+|(?<![a-z0-9-])[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*|[#@]\w+|</?\w+>|[\d٠-٩]+", re.I)
 
+_MAY_NOISE = re.compile(r"[/#@<]|www\.", re.I)
+
 
 def plain(text: str) -> str:
     """What is scored: composed, lower case, links, tags and numbers gone, single spaces."""
@@ -58,15 +60,31 @@ def plain(text: str) -> str:
     return " " + " ".join(re.findall(r"[^\W_]+(?:['’̀-ͯ][^\W_]*)*", t)) + " "
 
 
-_WORDS_OR_BREAK = re.compile(r"\n|[^\W_]+(?:['’̀-ͯ][^\W_]*)*")
+@lru_cache(maxsize=1)
+def _word_kinds() -> np.ndarray:
+    """Of each code point: 1 part of a word, 2 part of one that has begun, 3 line break, 0 anything else."""
+    out = np.zeros(0x110000, np.uint8)
+    out[[o for o in range(0x32400) if chr(o).isalnum() and not chr(o).isdecimal()]] = 1  # no letters lie beyond
+    out[[ord("'"), ord("’"), *range(0x300, 0x370)]] = 2
+    out[10] = 3
+    return out
 
 
 def plain_all(texts: list[str]) -> list[str]:
     """``plain`` of many texts without line breaks, in one go."""
     if not texts:
         return []
-    whole = unicodedata.normalize("NFC", _NOISE.sub(" ", "\n".join(texts))).lower()
-    parts = " ".join(["", *_WORDS_OR_BREAK.findall(whole), ""]).split("\n")
+    clean = [_NOISE.sub(" ", t) if _MAY_NOISE.search(t) else t for t in texts]  # digits go by their kind
+    whole = unicodedata.normalize("NFC", " \n ".join(["", *clean, ""])).lower()
+    cps = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    kind = _word_kinds()[cps]
+    begun = np.maximum.accumulate(np.where(kind != 2, np.arange(len(kind)), 0))  # the last place that is no mark
+    word = (kind == 1) | ((kind == 2) & (kind[begun] == 1))
+    gap = ~word & (kind != 3)
+    keep = ~gap
+    keep[1:] |= gap[1:] & ~gap[:-1]  # of a gap the first place
+    keep[0] = True
+    parts = np.where(gap, np.uint32(32), cps)[keep].tobytes().decode("utf-32-le").split("\n")[1:-1]
     return [p if p != " " else "  " for p in parts]
 
 
@@ -162,14 +180,12 @@ class PPM:
     def bytes(self) -> int:
         return sum(x.nbytes for group in (self.grams, self.contexts, self.escapes, self.costs) for x in group)
 
-    def _hashes(self, data: np.ndarray) -> list[np.ndarray]:
-        """For each order, the hash of the bytes before each position (row ``k``: the k bytes before)."""
-        out, d = [np.full(len(data), 1, np.uint64)], data.astype(np.uint64) + np.uint64(1)
-        h = np.zeros(len(data), np.uint64)
+    def _hashes(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """For each order, the hash of the bytes before each of some places (row ``k``: the k bytes before)."""
+        out, h = [np.full(len(at), 1, np.uint64)], np.zeros(len(at), np.uint64)
+        before = np.concatenate([np.zeros(self.order, np.uint64), data.astype(np.uint64) + np.uint64(1)])  # zeros where the text has not begun
         for k in range(1, self.order + 1):
-            shifted = np.zeros(len(data), np.uint64)
-            shifted[k:] = d[:-k] if k < len(data) else d[:0]
-            h = h + shifted * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64))
+            h = h + before[at + (self.order - k)] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64))
             x = (h ^ (h >> np.uint64(31))) * _MIX + np.uint64(k + 1)
             out.append(x ^ (x >> np.uint64(29)))
         return out
@@ -181,7 +197,7 @@ class PPM:
 
     def _tree(self, data: np.ndarray) -> list[dict]:
         """Per order: grams with their count, context and next shorter gram; contexts with their count and kinds of bytes."""
-        hashes, out = self._hashes(data), []
+        hashes, out = self._hashes(data, np.arange(len(data))), []
         for k, ctx in enumerate(hashes):
             c, b = ctx[k:], data[k:]
             gram, first, count = np.unique(self._with(c, b), return_index=True, return_counts=True)
@@ -202,12 +218,11 @@ class PPM:
             return out
         start = np.searchsorted(row, np.arange(rows))
         depth = np.arange(len(data)) - start[row]
-        hashes = self._hashes(data)
         first = np.flatnonzero((data == 32) | (depth == 0))
         size = np.diff(np.append(first, len(data)))
         places = np.arange(len(data)) - np.repeat(first, size)
         key = np.add.reduceat(self._with(places.astype(np.uint64) * _MIX, data), first)
-        key = (key ^ hashes[self.order][first]) * _MIX + np.minimum(depth[first], self.order).astype(np.uint64)
+        key = (key ^ self._hashes(data, first)[self.order]) * _MIX + np.minimum(depth[first], self.order).astype(np.uint64)
         _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         size = size[one]
         begin = np.cumsum(size) - size
@@ -216,20 +231,19 @@ class PPM:
         spans = np.zeros((len(one), n))
         for k in range(0, len(at), 1 << 15):
             part = at[k : k + (1 << 15)]
-            self._add(spans, owner[k : k + (1 << 15)], self._costs_at(part, data, depth, hashes))
+            self._add(spans, owner[k : k + (1 << 15)], self._costs_at(data[part], depth[part], self._hashes(data, part)))
         self._add(out, row[first], spans[inverse])
         return out
 
-    def _costs_at(self, at: np.ndarray, data: np.ndarray, depth: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-        """Bits of the bytes at some places."""
-        b, deep = data[at], depth[at]
-        cost, todo = np.zeros((len(at), len(self.langs)), np.float32), np.arange(len(at))
+    def _costs_at(self, b: np.ndarray, deep: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+        """Bits of some bytes, from how many bytes stand before them in their row and the hashes of these."""
+        cost, todo = np.zeros((len(b), len(self.langs)), np.float32), np.arange(len(b))
         for k in range(self.order, -1, -1):
             fits = deep[todo] >= k
             here = todo if fits.all() else todo[fits]
             if not len(here) or not len(self.grams[k]):
                 continue
-            c = hashes[k][at[here]]
+            c = hashes[k][here]
             gi = self.find_gram[k].find(self._with(c, b[here]))
             hit = gi >= 0
             cost[here[hit]] += self.costs[k][gi[hit]]

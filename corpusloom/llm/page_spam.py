@@ -9,7 +9,7 @@ the identity. A document's deviation then has a Mahalanobis distance, and a proj
 of spam (fewer function words; more links, tags, digits, repetition; less even). It is spam if both are large.
 
 Defined cases: null, empty and wordless texts without links or tags have no features and are never
-spam; languages with fewer than ``LEAST_DOCS`` documents use the statistics of all documents; a constant
+spam; a language's statistics are those of its documents and of ``PRIOR_DOCS`` documents of all languages together; a constant
 feature keeps the floor as its spread; repeated documents are judged alike.
 """
 
@@ -33,7 +33,8 @@ DIRECTION = np.array([-1.0, 1.0, 1.0, 0.5, 0.5, -1.0])
 FLOOR = np.array([0.05, 0.05, 0.05, 0.05, 0.1, 0.1])
 CLIP = 3.0
 SHRINK = 0.5
-LEAST_DOCS = 20
+#: So many documents of all languages stand for what is not known yet of one; so many tokens of an ordinary page for what a short page doesn't show.
+PRIOR_DOCS = 20
 FEW_TOKENS = 10
 DISTANCE, PROJECTION = 6.0, 5.3
 #: A word is a function word of its language if at least this many of its samples (and this share) hold it.
@@ -166,26 +167,30 @@ class Judge:
         have = rows.where(F.col("func").isNotNull())
         both = have.select(F.explode(F.array(F.lit(""), F.coalesce("lang", F.lit("?")))).alias("g"), *FEATURES)
         mid = {r["g"]: r for r in both.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 10000).alias(f) for f in FEATURES]).collect()}
-        self.mid = {g: np.array([r[f] for f in FEATURES]) for g, r in mid.items() if r["n"] >= LEAST_DOCS or g == ""}
+        self.mid = {g: np.array([r[f] for f in FEATURES]) for g, r in mid.items()}
         if not self.mid:
             self.spread, self.inverse = {}, {}
             return
+        # all documents together count as PRIOR_DOCS documents of each language
+        own = {g: r["n"] / (r["n"] + PRIOR_DOCS) if g else 1.0 for g, r in mid.items()}
+        blend = lambda by: {g: own[g] * x + (1 - own[g]) * by[""] for g, x in by.items()}
+        self.mid = blend(self.mid)
         centre = lambda f: F.element_at(F.create_map(*[x for g, v in self.mid.items() for x in (F.lit(g), F.lit(float(v[FEATURES.index(f)])))]), F.col("g"))
-        known = both.where(F.col("g").isin(list(self.mid)))
-        off = known.select("g", *[(F.col(f) - centre(f)).alias(f) for f in FEATURES])
+        off = both.select("g", *[(F.col(f) - centre(f)).alias(f) for f in FEATURES])
         mad = off.groupBy("g").agg(*[F.percentile_approx(F.abs(f), 0.5, 10000).alias(f) for f in FEATURES]).collect()
-        self.spread = {r["g"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), FLOOR) for r in mad}
+        self.spread = blend({r["g"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), FLOOR) for r in mad})
         scale = lambda f: F.element_at(F.create_map(*[x for g, v in self.spread.items() for x in (F.lit(g), F.lit(float(v[FEATURES.index(f)])))]), F.col("g"))
         z = off.select("g", *[F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col(f) / scale(f))).alias(f) for f in FEATURES])
         pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
-        self.inverse = {}
+        corr = {}
         for r in z.groupBy("g").agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect():
             c = np.zeros((len(FEATURES),) * 2)
             for a, b in pairs:
                 i, j = FEATURES.index(a), FEATURES.index(b)
                 c[i, j] = c[j, i] = r[f"{a}_{b}"]
             d = np.sqrt(np.maximum(np.diag(c), 1e-6))
-            self.inverse[r["g"]] = np.linalg.inv(SHRINK * np.eye(len(d)) + (1 - SHRINK) * c / np.outer(d, d))
+            corr[r["g"]] = c / np.outer(d, d)
+        self.inverse = {g: np.linalg.inv(SHRINK * np.eye(len(FEATURES)) + (1 - SHRINK) * c) for g, c in blend(corr).items()}
 
     def score(self, lang: np.ndarray, x: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distance, projection on the direction of spam) of each row."""

@@ -151,7 +151,7 @@ class Line:
 class Candidate:
     __slots__ = ("after", "close", "ch", "gap", "in_token", "last", "mark", "next", "start", "token", "token_mark", "web", "next_word", "first", "opened")
 
-    def __init__(self, line: Line, m: re.Match):
+    def __init__(self, line: Line, m: re.Match, words: bool = True):
         text, hi, mark = line.text, line.hi, m.group()
         self.start, self.after = m.start(), m.end()
         c = _CLOSE.match(text, m.end(), hi)
@@ -162,7 +162,7 @@ class Candidate:
         self.token_mark = self.token + ("..." if self.mark == "ell" else mark[0])
         self.gap, self.ch = next_start(text, self.last, hi)
         self.next = kind(self.ch)
-        self.next_word = line.next_word(self.last)
+        self.next_word = line.next_word(self.last) if words else ""
         self.web = False
         if self.gap == "none" and not self.close:
             rest = _NEXT.match(text, self.last, hi)
@@ -208,10 +208,11 @@ def lines_of(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def candidates(text: str, lo: int, hi: int) -> Iterator[Candidate]:
+def candidates(text: str, lo: int, hi: int, words: bool = True) -> Iterator[Candidate]:
+    """``words``: whether the next words are wanted."""
     line = Line(text, lo, hi)
     for m in _MARK.finditer(text, lo, hi):
-        c = Candidate(line, m)
+        c = Candidate(line, m, words)
         yield c
         if c.gap != "none":
             line.start_sentence(c.last)
@@ -238,7 +239,7 @@ class BoundaryModel:
         out = []
         for lo, hi in lines_of(text):
             at = lo
-            for c in candidates(text, lo, hi):
+            for c in candidates(text, lo, hi, bool(self.starts)):
                 if c.last > at and self.is_end(c):
                     if text[at : c.last].strip():
                         out.append((at, c.last))
