@@ -132,8 +132,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _records_sql() -> str:
+    """CTEs that end in ``keyed`` with (sent_id, key): named fields sorted, the rest bare letters, marks and digits."""
+    bare = lambda x: f"lower(upper(regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')))"
+    name = "[\\p{L}\\p{M}_][\\p{L}\\p{M}\\p{N}_ ]*\\s*:"
+    parts = f"string_split(regexp_replace(text, '\\s*[|;\\n]+\\s*({name})', chr(30) || '\\1', 'g'), chr(30))"
+    pair = f"{bare('split_part(x, chr(58), 1)')} || chr(31) || {bare('substr(x, strpos(x, chr(58)) + 1)')}"
+    field = f"{bare('x')} || chr(31) || {bare(chr(99) + 'oalesce(json_extract_string(text, chr(36) || chr(46) || chr(34) || x || chr(34)), chr(32))')}"
+    return (
+        "WITH rows AS (SELECT sent_id, text FROM languages WHERE text IS NOT NULL), "
+        f"kinds AS (SELECT *, {bare('text')} AS plain, regexp_matches(text, '(?s)^\\s*\\{{.*\\}}\\s*$') AND json_valid(text) AS is_json, regexp_matches(text, '(?s)^\\s*{name}.*?[|;\\n]\\s*{name}.*$') AS is_record FROM rows), "
+        f"keyed AS (SELECT sent_id, CASE WHEN is_json THEN array_to_string(list_sort(list_transform(json_keys(CASE WHEN is_json THEN text END), lambda x: {field})), chr(30)) "
+        f"WHEN is_record THEN array_to_string(list_sort(list_transform({parts}, lambda x: {pair})), chr(30)) ELSE plain END AS key FROM kinds WHERE plain <> '')"
+    )
+
+
+def _windows_sql(table: str, key: str, size: int) -> str:
+    """(key, w) of all runs of ``size`` words of a table, without case, accents' spelling, punctuation and marks inside words."""
+    words = "regexp_extract_all(nfc_normalize(lower(regexp_replace(text, '[\\p{Cf}''’‘ʼ`´]', '', 'g'))), '[\\p{L}\\p{M}\\p{N}]+')"
+    return (
+        f"SELECT DISTINCT {key}, w FROM (SELECT {key}, unnest(list_transform(range(1, len(l) - {size - 2}), lambda i: array_to_string(l[i:i + {size - 1}], ' '))) AS w "
+        f"FROM (SELECT {key}, {words} AS l FROM {table} WHERE text IS NOT NULL))"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     shares = " UNION ALL ".join(f"SELECT mix_id, '{t}' AS typology, {t} AS share, size_factor, max_repeats FROM typology_budget_ratios" for t in TYPOLOGIES)
+    records = _records_sql()
     return {
         "p3_found": f"""
             WITH sizes AS (SELECT f.typology, sum(coalesce(length(p.text), 0)) AS size
@@ -141,4 +166,7 @@ def oracle_sql() -> dict[str, str]:
                  wanted AS ({shares})
             SELECT w.mix_id, w.typology FROM wanted w LEFT JOIN sizes s USING (typology)
             WHERE coalesce(s.size, 0) * w.max_repeats < w.share * w.size_factor * (SELECT sum(size) FROM sizes)""",
+        "p7_found": f"{records}, firsts AS (SELECT sent_id, min(sent_id) OVER (PARTITION BY key) AS first_id FROM keyed) SELECT first_id, sent_id AS copy_id FROM firsts WHERE sent_id <> first_id",
+        "p7_counts": f"{records} SELECT min(sent_id) AS first_id, count(*) AS copies FROM keyed GROUP BY key",
+        "p9_found": f"WITH a AS ({_windows_sql('benchmark_items', 'item_id', 12)}), b AS ({_windows_sql('documents', 'doc_id', 12)}) SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (w)",
     }

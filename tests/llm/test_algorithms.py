@@ -175,12 +175,16 @@ def test_a_third_in_one_record(spark):
     assert {tuple(r) for r in got.collect()} == {(0, i) for i in range(3, 6000, 3)}
 
 
-def test_p3_found_equals_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{f}'")
-    wanted = set(con.execute(queries.oracle_sql()["p3_found"]).fetchall())
-    assert {(r["mix_id"], r["typology"]) for r in queries.p3_found(spark, sf_dir).collect()} == wanted
+    df = queries.queries()[name](spark, sf_dir)
+    cur = con.execute(queries.oracle_sql()[name])
+    have = [d[0] for d in cur.description]
+    assert sorted(have) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in have) for r in df.collect()) == sorted(cur.fetchall())
 
 
 COLUMNS = {
