@@ -23,11 +23,24 @@ class MinTokenEncoder:
     that is strictly cheaper; of equally cheap longer tokens the shortest is taken. An Aho-Corasick
     automaton over the reversed tokens, run over the reversed text, meets the tokens in just this order:
     by start from the last to the first, and longest first at each start.
+
+    A text falls into parts at the spaces that no token found there reaches across; each part has its shortest path for itself,
+    and as most parts are single words, the paths of short parts are remembered.
     """
 
+    #: Parts that are remembered at once, and the most characters of one.
+    PARTS, LONGEST = 200_000, 64
+
     def __init__(self, ids: dict[str, int]):
         import ahocorasick
 
+        self.known: dict[str, list[int]] = {}
+        self.across = ahocorasick.Automaton()
+        for token in ids:
+            if inner := tuple(k - len(token) + 1 for k in range(1, len(token)) if token[k] == " "):
+                self.across.add_word(token, inner)  # its inner spaces, counted from its last character
+        self.across.make_automaton()
+
         self.single = {t: i for t, i in ids.items() if len(t) == 1}
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
@@ -37,6 +50,26 @@ class MinTokenEncoder:
         self.long = len(self.automaton) > 0
 
     def encode(self, text: str) -> list[int]:
+        crossed = {end + k for end, inner in self.across.iter(text) for k in inner} if len(self.across) else ()
+        out, at, p = [], 0, text.find(" ", 1)
+        while p >= 0:
+            if p not in crossed:
+                out += self._part(text[at:p])
+                at = p
+            p = text.find(" ", p + 1)
+        return out + self._part(text[at:])
+
+    def _part(self, part: str) -> list[int]:
+        got = self.known.get(part)
+        if got is None:
+            got = self._shortest(part)
+            if len(part) <= self.LONGEST:
+                if len(self.known) >= self.PARTS:
+                    self.known.clear()
+                self.known[part] = got
+        return got
+
+    def _shortest(self, text: str) -> list[int]:
         n = len(text)
         if not n:
             return []

@@ -265,3 +265,15 @@ def test_families_of_the_project_files(spark, sf_dir):
     files = spark.read.parquet(f"{sf_dir}/dataset_files.parquet")
     got = {r["file"]: r["family"] for r in classify.file_families(files.select("file"), classify.alias_table(spark)).collect()}
     assert all(got[r["file"]] == r["family"] for r in files.where("family IS NOT NULL").collect())
+
+
+def test_parts_encode_as_the_whole():
+    """Tokens across spaces, with a space at their end or start, and several spaces."""
+    r = random.Random(3)
+    vocabulary = {t: i for i, t in enumerate(["a", "b", " ", "ab", " a", "a ", "b a", " ab a", "  ", "a b ", "ba", " b"])}
+    coder = codec.MinTokenEncoder(vocabulary)
+    for _ in range(3000):
+        text = "".join(r.choice("ab  c") for _ in range(r.randint(0, 30)))
+        assert coder.encode(text) == coder._shortest(text)
+    coder.PARTS = 2
+    assert coder.encode("a b ab ba") == coder._shortest("a b ab ba") and len(coder.known) <= 2
