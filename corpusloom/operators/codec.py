@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,15 +113,30 @@ def vocabulary_ids(vocabulary: DataFrame | dict[str, int]) -> dict[str, int]:
     return {r["token"]: r["token_id"] for r in vocabulary.select("token", "token_id").orderBy("token_id").collect()}
 
 
+#: Encoders of this process by their vocabulary's digest; a worker serves many tasks.
+_CODERS: dict[str, MinTokenEncoder] = {}
+
+
+def coder_of(digest: str, ids: dict[str, int]) -> MinTokenEncoder:
+    if digest not in _CODERS:
+        if len(_CODERS) >= 4:
+            _CODERS.clear()
+        _CODERS[digest] = MinTokenEncoder(ids)
+    return _CODERS[digest]
+
+
 def encoder(vocabulary: DataFrame | dict[str, int]):
-    """Column function text -> ids. The trie is built once per worker; null and "" give []."""
-    held: dict = {"ids": vocabulary_ids(vocabulary)}
+    """Column function text -> ids. The automata are built once per worker; null and "" give []."""
+    ids = vocabulary_ids(vocabulary)
+    digest = md5(repr(sorted(ids.items())).encode("utf-8", "surrogatepass")).hexdigest()
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(col: pa.Array) -> pa.Array:
-        if "coder" not in held:
-            held["coder"] = MinTokenEncoder(held["ids"])
-        return pa.array([held["coder"].encode(t or "") for t in col.to_pylist()], pa.list_(pa.int32()))
+        coder = coder_of(digest, ids)
+        made = [coder.encode(t or "") for t in col.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
     def apply(text: Column | str) -> Column:
         c = F.col(text) if isinstance(text, str) else text
