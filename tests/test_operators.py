@@ -277,3 +277,27 @@ def test_parts_encode_as_the_whole():
         assert coder.encode(text) == coder._shortest(text)
     coder.PARTS = 2
     assert coder.encode("a b ab ba") == coder._shortest("a b ab ba") and len(coder.known) <= 2
+
+
+@pytest.mark.parametrize("phrases", [False, True])
+def test_large_tables_are_cut_at_rare_pairs(spark, monkeypatch, phrases):
+    """A table above the limit is trained in pieces, several times over, with the merges of the whole and without a job for every few of them."""
+    r = random.Random(11)
+    units = [" " + c for c in "abcdefghijklm"] if phrases else list("aaabbcdefghijklmno ")
+    words = sorted({tuple(r.choice(units) for _ in range(r.randint(2, 12))) for _ in range(1200)})
+    words = [(list(w), r.randint(1, 60)) for w in words]
+    df = spark.createDataFrame(words, "units array<string>, n bigint")
+    guard = lambda: bpe.Guard({*units, "ab", "bc"}, phrases, 3)
+    wanted = bpe.merge_loop(words, 120, guard())
+    assert wanted[:20] == slow_bpe(words, 20, {*units, "ab", "bc"}, phrases)
+    seen, cut = [], bpe.cut_at_rare_pairs
+    monkeypatch.setattr(bpe, "cut_at_rare_pairs", lambda *a: seen.append(1) or cut(*a))
+    monkeypatch.setattr(bpe, "merge_rounds", lambda *a, **k: pytest.fail("a job for every few merges"))
+    assert bpe.learn(df, 120, guard(), most=4000) == wanted and len(seen) > 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merge_loop_with_units_that_are_learned_again(seed):
+    r = random.Random(seed)
+    words = [([r.choice(["a", "b", "ab", "ba", "aa", "abb"]) for _ in range(r.randint(1, 9))], r.choice([1, 2, 40, 700])) for _ in range(20)]
+    assert bpe.merge_loop(words, 30, bpe.Guard(set())) == slow_bpe(words, 30, set())
