@@ -301,3 +301,15 @@ def test_merge_loop_with_units_that_are_learned_again(seed):
     r = random.Random(seed)
     words = [([r.choice(["a", "b", "ab", "ba", "aa", "abb"]) for _ in range(r.randint(1, 9))], r.choice([1, 2, 40, 700])) for _ in range(20)]
     assert bpe.merge_loop(words, 30, bpe.Guard(set())) == slow_bpe(words, 30, set())
+
+
+def test_words_of_markers_are_remembered():
+    """A word of a few characters beyond ASCII is long as stored, but still a word."""
+    marks = ["U+1230 ETHIOPIC SYLLABLE SA", "U+120B ETHIOPIC SYLLABLE LAA", "U+121D ETHIOPIC SYLLABLE ME"]
+    word = "".join(f"[{m}]" for m in marks).replace(" ", "_")
+    coder = codec.MinTokenEncoder({chr(c): i for i, c in enumerate(rules.ASCII)} | {" a": 300})
+    assert coder.encode(word + " a") == coder._shortest(word + " a")
+    assert len(word) > 64 and word in coder.known
+    marked = "".join(f"[{m}]" for m in marks)
+    coder = codec.MinTokenEncoder({chr(c): i for i, c in enumerate(rules.ASCII)} | {f"[{m}]": 200 + i for i, m in enumerate(marks)} | {" a": 300})
+    assert coder.encode(marked + " a") == [200, 201, 202, 300] and marked in coder.known
