@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.normalize import atomic_length, normalised
-from corpusloom.operators.codec import decoded, encoder
+from corpusloom.operators.codec import coded
 from corpusloom.operators.sampling import subsample, word_number
 
 
 def encoded_corpus(df: DataFrame, vocabulary: DataFrame | dict[str, int], text: str = "text", keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keep..., text, ids, back): normalised non-empty texts, their ids and the decoded text."""
-    lines = df.select(*keep, normalised(F.col(text)).alias("text")).where("text <> ''")
-    return decoded(lines.withColumn("ids", encoder(vocabulary)("text")), vocabulary, to="back")
+    return coded(df.select(*keep, normalised(F.col(text)).alias("text")), vocabulary)
 
 
 def report(df: DataFrame, vocabulary: DataFrame | dict[str, int], text: str = "text", file: str = "file", ratio: float = 1.0, key: tuple[str, ...] = ()) -> DataFrame:

@@ -313,3 +313,13 @@ def test_words_of_markers_are_remembered():
     marked = "".join(f"[{m}]" for m in marks)
     coder = codec.MinTokenEncoder({chr(c): i for i, c in enumerate(rules.ASCII)} | {f"[{m}]": 200 + i for i, m in enumerate(marks)} | {" a": 300})
     assert coder.encode(marked + " a") == [200, 201, 202, 300] and marked in coder.known
+
+
+def test_a_text_is_normalised_and_encoded_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "  "), (5, "é")], "k int, text string")
+    back = evaluate.encoded_corpus(df, {chr(c): i for i, c in enumerate(rules.ASCII)}, keep=("k",))
+    plan = back.where("back <> ''").select("k", F.size("ids"), F.col("text") == F.col("back"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1 and "ArrowEvalPython [run" not in plan
+    assert back.columns == ["k", "text", "ids", "back"]
+    got = {r["k"]: (r["text"] == r["back"], len(r["ids"])) for r in back.collect()}
+    assert got[1] == (True, 3) and got[5][0] and set(got) == {1, 5}
