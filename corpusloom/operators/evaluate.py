@@ -19,9 +19,12 @@ def report(df: DataFrame, vocabulary: DataFrame | dict[str, int], text: str = "t
     """Per file and over all (file null): sums, ratios of sums and whether every text came back."""
     rows = subsample(df, key, ratio) if key else df
     each = encoded_corpus(rows, vocabulary, text, (file,))
-    sums = each.rollup(file).agg(
-        F.count("*").alias("sentences"), F.sum(word_number(F.col("text"))).cast("bigint").alias("words"), F.sum(atomic_length(F.col("text"))).alias("chars_in"),
-        F.sum(atomic_length(F.col("back"))).alias("chars_out"), F.sum(F.size("ids")).cast("bigint").alias("tokens"), F.sum((F.col("text") == F.col("back")).cast("bigint")).alias("exact"),
+    # measured once a text: a rollup repeats its rows, and a text that came back has its length
+    sizes = each.select(file, (F.col("text") == F.col("back")).alias("same"), "back", word_number(F.col("text")).alias("words"), atomic_length(F.col("text")).alias("chars_in"), F.size("ids").alias("tokens"))
+    sizes = sizes.select(file, F.col("same").cast("bigint").alias("same"), "words", "chars_in", F.when(F.col("same"), F.col("chars_in")).otherwise(atomic_length(F.col("back"))).alias("chars_out"), "tokens")
+    sums = sizes.rollup(file).agg(
+        F.count("*").alias("sentences"), F.sum("words").cast("bigint").alias("words"), F.sum("chars_in").alias("chars_in"),
+        F.sum("chars_out").alias("chars_out"), F.sum("tokens").cast("bigint").alias("tokens"), F.sum("same").alias("exact"),
     )
     per = lambda c: F.round(F.col(c) / F.greatest(F.lit(1), "tokens"), 6)
     return sums.select("*", per("chars_in").alias("chars_per_token"), per("words").alias("words_per_token"), ((F.col("exact") == F.col("sentences")) & (F.col("chars_in") == F.col("chars_out"))).alias("passed"))

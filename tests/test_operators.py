@@ -323,3 +323,13 @@ def test_a_text_is_normalised_and_encoded_once(spark):
     assert back.columns == ["k", "text", "ids", "back"]
     got = {r["k"]: (r["text"] == r["back"], len(r["ids"])) for r in back.collect()}
     assert got[1] == (True, 3) and got[5][0] and set(got) == {1, 5}
+
+
+def test_report_measures_each_text_once(spark):
+    """Above the rollup's repeated rows no text is left; a text that doesn't come back has its own length."""
+    df = spark.createDataFrame([("a.txt", "a x"), ("a.txt", "aa"), ("b.txt", "x")], "file string, text string")
+    made = evaluate.report(df, {"ab": 0, "a": 1, " ": 2})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan[: plan.index("Expand")] and "text" not in plan[plan.index("Expand") :].split("\n")[0]
+    got = {r["file"]: (r["sentences"], r["words"], r["chars_in"], r["chars_out"], r["tokens"], r["exact"], r["passed"]) for r in made.collect()}
+    assert got == {"a.txt": (2, 3, 5, 6, 5, 1, False), "b.txt": (1, 1, 1, 2, 1, 0, False), None: (3, 4, 6, 8, 6, 1, False)}
